@@ -37,6 +37,7 @@ class WordEncoder:
         self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
+        self.seed: dict[str, int] | None = None
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width)
@@ -66,44 +67,35 @@ class WordEncoder:
                 out[i] = np.array(e.ids, dtype=self.width).tobytes()
         return out  # type: ignore[return-value]
 
-    def document_ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        known, extra = self.ids, {}
-        new = list({w for ws in split if ws for w in ws} - known.keys())
-        if len(known) + len(new) > self.bound and known:
+    def _learn(self, split: list[list[str]], known: dict, first: dict, value) -> dict:
+        """``known`` with all words of ``split``: words that are not kept come in a copy of it."""
+        words = set().union(*split)
+        new = list(words - known.keys())
+        if len(known) + len(new) > self.bound + len(first) and len(known) > len(first):
             known.clear()
-            new = list({w for ws in split if ws for w in ws})
+            known.update(first)
+            new = list(words - known.keys())
+        extra = {}
         for word, ids in zip(new, self.encode(new)):
-            (known if len(word) <= LONGEST_KEPT and len(known) < self.bound else extra)[word] = ids
-        find = known.__getitem__ if not extra else lambda w: known[w] if w in known else extra[w]
-        return [self.whole(t).tobytes() if ws is None else b"".join(map(find, ws)) for t, ws in zip(texts, split)]
+            (known if len(word) <= LONGEST_KEPT and len(known) < self.bound + len(first) else extra)[word] = value(ids)
+        return known | extra if extra else known
+
+    def document_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        split = [[] if _SEPARATORS.search(t) else t.split() for t in texts]
+        find = self._learn(split, self.ids, {}, bytes).__getitem__
+        return [b"".join(map(find, ws)) if ws or not t.strip() else self.whole(t).tobytes() for t, ws in zip(texts, split)]
 
     def document_lengths(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
-        """Number of ids of each text: the frequent words' table first, then the worker's cache, then the library."""
-        split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
-        known, extra, size = self.lengths, {}, self.width.itemsize
-        words = {w for ws in split if ws for w in ws} - frequent.keys()
-        new = list(words - known.keys())
-        if len(known) + len(new) > self.bound and known:
-            known.clear()
-            new = list(words)
-        for word, ids in zip(new, self.encode(new)):
-            (known if len(word) <= LONGEST_KEPT and len(known) < self.bound else extra)[word] = len(ids) // size
-        out = []
-        for text, ws in zip(texts, split):
-            if ws is None:
-                out.append(len(self.whole(text)))
-                continue
-            n, slow = 0, []
-            for w in ws:
-                k = frequent.get(w)
-                if k is None:
-                    slow.append(w)
-                else:
-                    n += k
-            out.append(n + sum(known[w] if w in known else extra[w] for w in slow))
-        return out
+        """Number of ids of each text: the frequent words' table first, then the worker's cache, then the library.
+
+        The cache holds the table and the misses so far; when it is full, it starts again from the table.
+        """
+        if self.seed is not frequent:
+            self.seed, self.lengths = frequent, dict(frequent)
+        split, size = [[] if _SEPARATORS.search(t) else t.split() for t in texts], self.width.itemsize
+        find = self._learn(split, self.lengths, frequent, lambda ids: len(ids) // size).__getitem__
+        return [sum(map(find, ws)) if ws or not t.strip() else len(self.whole(t)) for t, ws in zip(texts, split)]
 
 
 def encoder(path: str) -> WordEncoder:

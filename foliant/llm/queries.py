@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix, training_order
 from .token_counts import token_counts
+from .token_shards import token_shards
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -17,6 +19,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
