@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import digests, format_conversations
 from .common import table
 from .decontaminate import contaminated
+from .merkle import edit_fingerprints
 from .mixing import mix, training_order
 from .token_counts import token_counts
 from .token_shards import token_shards
+from .url_filter import judge_urls
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -36,6 +42,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
