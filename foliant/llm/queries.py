@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digests, format_conversations
 from .common import table
+from .cotraining import score_documents
 from .decontaminate import contaminated
 from .merkle import edit_fingerprints
 from .mixing import mix, training_order
@@ -42,6 +43,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprints(table(spark, sf_dir, "documents"))
 
