@@ -13,6 +13,7 @@ from .cotraining import score_documents
 from .decontaminate import contaminated
 from .merkle import edit_fingerprints
 from .mixing import mix, training_order
+from .near_duplicates import near_duplicate_classes
 from .token_counts import token_counts
 from .token_shards import token_shards
 from .url_filter import judge_urls
@@ -32,6 +33,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position", "second_position")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
