@@ -7,14 +7,15 @@ which Python's ``split`` takes for white space and the library does not, go to t
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 
 import numpy as np
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Words with one or two units, whose borders show in the encoded ids: letters, then punctuation but no apostrophe.
-_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([!-&(-/:;=?@\[-`{-~]*)")
+#: Words of one or two units, whose borders are known beforehand: letters, then punctuation without apostrophes.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Longer words are encoded but not kept, so the caches stay within their bound.
 LONGEST_KEPT = 64
 
@@ -24,9 +25,9 @@ _loaded: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Ids of white-space words, kept in a bounded cache that lives as long as the Python worker."""
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
         self.tokenizer.no_truncation()
@@ -35,9 +36,12 @@ class WordEncoder:
         self.width = np.dtype("<u2" if max(vocab.values(), default=0) < 1 << 16 else "<u4")
         self.is_end = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.is_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.ids: dict[str, bytes] = {}
-        self.lengths: dict[str, int] = {}
-        self.seed: dict[str, int] | None = None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # The same model behind a plain split at spaces: enough for simple words, and much faster.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width)
@@ -45,15 +49,17 @@ class WordEncoder:
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of each word as bytes of type ``width``."""
         out: list[bytes | None] = [None] * len(words)
-        simple, units = [], []
+        simple, split = [], []
         for i, word in enumerate(words):
             if len(word) <= LONGEST_KEPT and (m := _SIMPLE.fullmatch(word)):
                 simple.append(i)
-                units.append(2 if m[1] else 1)
+                split.append(m.groups())
         for at in range(0, len(simple), 512):
-            part, want = simple[at : at + 512], np.cumsum(units[at : at + 512])
-            ids = self.whole(" ".join([words[i] for i in part]))
-            ends = np.flatnonzero(self.is_end[ids])
+            part, pieces = simple[at : at + 512], split[at : at + 512]
+            joined = " ".join([a + " " + b if b else a for a, b in pieces]).lower()
+            spelled = codecs.charmap_decode(joined.encode(), "strict", self.letters)[0]
+            ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype=self.width)
+            ends, want = np.flatnonzero(self.is_end[ids]), np.cumsum([2 if b else 1 for _, b in pieces])
             if len(ends) != want[-1]:
                 continue  # an unexpected unit: these words are encoded one by one below
             cuts = ends[want - 1] + 1
@@ -67,37 +73,55 @@ class WordEncoder:
                 out[i] = np.array(e.ids, dtype=self.width).tobytes()
         return out  # type: ignore[return-value]
 
-    def _learn(self, split: list[list[str]], known: dict, first: dict, value) -> dict:
-        """``known`` with all words of ``split``: words that are not kept come in a copy of it."""
-        words = set().union(*split)
-        new = list(words - known.keys())
-        if len(known) + len(new) > self.bound + len(first) and len(known) > len(first):
-            known.clear()
-            known.update(first)
-            new = list(words - known.keys())
-        extra = {}
-        for word, ids in zip(new, self.encode(new)):
-            (known if len(word) <= LONGEST_KEPT and len(known) < self.bound + len(first) else extra)[word] = value(ids)
-        return known | extra if extra else known
+    def _known(self, split: list[list[str]], frequent: dict[str, bytes]) -> dict[str, bytes]:
+        """Ids of all words of ``split``.
+
+        Words come from the frequent ones, else from the worker's cache, which has two generations: when the young
+        one is full it becomes the old one, and what is found in the old one is young again. What neither has is
+        encoded.
+        """
+        words = list(set().union(*split))
+        if frequent:
+            found = dict(zip(words, map(frequent.get, words)))
+            words = [w for w, ids in found.items() if ids is None]
+            found.update(zip(words, map(self.young.get, words)))
+        else:
+            found = dict(zip(words, map(self.young.get, words)))
+        words = [w for w in words if found[w] is None]
+        again = dict(zip(words, map(self.old.get, words)))
+        new = [w for w, ids in again.items() if ids is None]
+        again.update(zip(new, self.encode(new)))
+        found |= again
+        for word in [w for w in again if len(w) > LONGEST_KEPT]:
+            del again[word]
+        if len(self.young) + len(again) > self.bound:
+            self.old, self.young = self.young, {}
+        if len(again) <= self.bound:
+            self.young |= again
+        return found
 
     def document_ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         split = [[] if _SEPARATORS.search(t) else t.split() for t in texts]
-        find = self._learn(split, self.ids, {}, bytes).__getitem__
+        find = self._known(split, {}).__getitem__
         return [b"".join(map(find, ws)) if ws or not t.strip() else self.whole(t).tobytes() for t, ws in zip(texts, split)]
 
     def document_lengths(self, texts: list[str], frequent: dict[str, int]) -> list[int]:
-        """Number of ids of each text: the frequent words' table first, then the worker's cache, then the library.
-
-        The cache holds the table and the misses so far; when it is full, it starts again from the table.
-        """
-        if self.seed is not frequent:
-            self.seed, self.lengths = frequent, dict(frequent)
+        """Number of ids of each text: the frequent words' table first, then the worker's cache, then the library."""
         split, size = [[] if _SEPARATORS.search(t) else t.split() for t in texts], self.width.itemsize
-        find = self._learn(split, self.lengths, frequent, lambda ids: len(ids) // size).__getitem__
+        found = self._known(split, frequent)
+        find = {w: x if type(x) is int else len(x) // size for w, x in found.items()}.__getitem__
         return [sum(map(find, ws)) if ws or not t.strip() else len(self.whole(t)) for t, ws in zip(texts, split)]
 
 
+def _byte_letters() -> str:
+    """The letter that byte-level vocabularies have for each byte: itself where it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    letters = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(others)} | {32: " "}
+    return "".join(letters[b] for b in range(256))
+
+
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a tokenizer file."""
     if path not in _loaded:
