@@ -14,6 +14,7 @@ from .decontaminate import contaminated
 from .merkle import edit_fingerprints
 from .mixing import mix, training_order
 from .near_duplicates import near_duplicate_classes
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_shards import token_shards
 from .url_filter import judge_urls
@@ -25,6 +26,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
