@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """Whole text files, folders below included."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select(F.input_file_name().alias("file_path"), F.col("value").alias("text"))
+    return spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("text"))
 
 
 def binary_files(spark: SparkSession, path: str, extract: Callable[[bytes], str], pattern: str = "*.pdf") -> DataFrame:
