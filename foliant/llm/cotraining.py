@@ -138,6 +138,8 @@ def choose_words(words: list[np.ndarray], ys: list[np.ndarray], least: int = 8)
     owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
     n, has = len(words), np.bincount(flat, minlength=HASHED).astype(float)
     place, found = np.full(HASHED, -1, np.int64), []
+    if not n:
+        return place
     for y in ys:
         bad = np.bincount(flat, weights=y[owner].astype(float), minlength=HASHED)
         rate = y.mean()
