@@ -31,6 +31,7 @@ from .common import slices
 
 WORDS = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, 1
+ABSENT = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,13 +86,15 @@ class Block:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
 
     def set_seeds(self, counts: np.ndarray, window: int) -> None:
-        """From every ``window`` consecutive n-grams of an item the one that the corpus has least often."""
+        """From every ``window`` consecutive n-grams of an item the rarest of those that the corpus has."""
         places = defaultdict(set)
         for item, grams in enumerate(self.grams):
             often = counts[np.searchsorted(self.keys, grams)]
+            often = np.where(often, often, ABSENT)
             for a in range(max(1, len(grams) - window + 1) if len(grams) else 0):
                 k = a + int(np.argmin(often[a : a + window]))
-                places[int(grams[k])].add((item, k))
+                if often[k] < ABSENT:
+                    places[int(grams[k])].add((item, k))
         self.seed_keys = np.array(sorted(places), np.uint64)
         lists = [sorted(places[int(k)]) for k in self.seed_keys]
         self.first = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
