@@ -12,7 +12,7 @@ Each source's weight changes linearly over training: ``ramp`` at the start, 2 -
 Integrated up to time t it gives ramp*t + (1 - ramp)*t*t of the target; a document whose first word stands at
 share u of its source's demand gets the t at which that integral is u as its training position.
 
-Prefix sums run in hash buckets of some thousand rows, and bucket sums are added over the buckets of a source, so a
+Prefix sums run in hash buckets of some hundred rows, and bucket sums are added over the buckets of a source, so a
 source with a third of all rows is spread over all tasks.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null source is a source, last in order; rows
@@ -30,7 +30,7 @@ from .common import stored
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 RAMPS = (1.5, 1.0, 0.5)
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def _cycle(values: tuple[float, ...], rank: Column) -> Column:
@@ -99,6 +99,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     mixed = mix(docs, id_col, text_col, source_col, **options)
     copies = F.filter(F.array(F.when(2 * F.col("first_words") >= F.col("size"), F.col("position")), F.when(2 * F.col("second_words") >= F.col("size"), F.col("second_position"))), lambda x: x.isNotNull())
-    decided = mixed.where(F.col("size") > 0).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.min_by(copies, F.col("position")).alias("_copies"))
-    joined = docs.join(decided, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_hash")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode("_copies").alias("_position")).orderBy("_position", id_col).drop("_position")
+    decided = mixed.where(F.col("size") > 0).groupBy(F.col(id_col).alias("foliant_mix_id"), F.col("text_hash").alias("foliant_mix_hash"), F.col("source").alias("foliant_mix_source")).agg(F.min_by(copies, F.col("position")).alias("foliant_mix_copies"))
+    joined = docs.join(decided, F.col(id_col).eqNullSafe(F.col("foliant_mix_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("foliant_mix_hash")) & F.col(source_col).cast("string").eqNullSafe(F.col("foliant_mix_source")))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode("foliant_mix_copies").alias("foliant_mix_position")).orderBy("foliant_mix_position", id_col).drop("foliant_mix_position")
