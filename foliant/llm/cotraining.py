@@ -4,8 +4,8 @@ Two faults are learned from labelled documents: low quality and toxicity. For ea
 classifiers with features of their own: the text view sees words (hashed, those that labels depend on most) and the
 text's shape (letter case, signs, repeats, lengths, in bins); the metadata view sees source, language and stated
 length. Over ``rounds``, each labels the documents of an unlabelled pool that it is most sure of, and hands them to
-the other for training. On a fold that neither was trained on, each view's margin is calibrated and both are combined
-by a logistic fit. Every document is then scored; one whose faults together are likelier than ``threshold`` is rejected.
+the other for training. A fold that neither is trained on shows how sure a view may be: there its margins are
+calibrated, in each round, and in the end both are combined by a logistic fit. Every document is then scored; one whose faults together are likelier than ``threshold`` is rejected.
 
 Training uses a sample: at most about ``labelled_bound`` labelled rows and ``pool_bound`` unlabelled ones, chosen by a hash of
 the id over the whole tables; it is bounded whatever the input's size and fits the driver. Scoring is map-side with a
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 WORDS = re.compile(r"\w+")
-HASHED, CHOSEN, BINS, META = 1 << 20, 400, 12, 1 << 10
+HASHED, CHOSEN, BINS, META = 1 << 20, 300, 12, 1 << 10
 FAULTS = ("low", "toxic")
 SHORT = math.log(25)
 _SPACE, _LETTER = re.compile(r"\s+"), re.compile(r"[^\W\d_]")
@@ -80,7 +80,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-4, step
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + l2 * np.append(w[:-1], 0).astype(np.float32)
+        gradient = x.T @ (weight * (p - y)) + (l2 + 0.3 / len(x)) * np.append(w[:-1], 0).astype(np.float32)
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         w = w - (0.2 * (1 - k / (steps + 1))) * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     return w.astype(np.float32)
@@ -136,14 +136,14 @@ class Model:
 
 def choose_words(words: list[np.ndarray], ys: list[np.ndarray], least: int = 8) -> np.ndarray:
     """Place of each hashed word among those whose presence tells most about a fault (chi square)."""
-    flat = np.concatenate([*words, np.zeros(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    flat = np.concatenate([*words, np.zeros(0, np.int32)]).astype(np.int32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
     n, has = len(words), np.bincount(flat, minlength=HASHED).astype(float)
     place, found = np.full(HASHED, -1, np.int64), []
     if not n:
         return place
     for y in ys:
-        bad = np.bincount(flat, weights=y[owner].astype(float), minlength=HASHED)
+        bad = np.bincount(flat, weights=y.astype(np.float32)[owner], minlength=HASHED)
         rate = y.mean()
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = (bad - has * rate) ** 2 / (has * rate * (1 - rate)) / np.maximum(1e-9, 1 - has / n)
@@ -155,6 +155,14 @@ def choose_words(words: list[np.ndarray], ys: list[np.ndarray], least: int = 8)
     return place
 
 
+def _calibrated(x: np.ndarray, weights: np.ndarray, y: np.ndarray) -> View:
+    """A view whose margins are scaled to chances by rows that its weights weren't fitted to."""
+    m = margin(x, weights)
+    spread = float(m.std()) or 1.0
+    a, b = fit((m / spread)[:, None].astype(np.float32), y.astype(np.float32), np.ones(len(y)), 1e-3, 300)
+    return View(weights, float(a) / spread, float(b))
+
+
 def cotrain(labelled: tuple, pool: tuple, ys: dict[str, np.ndarray], fold: np.ndarray, rounds: int = 3, a_round: int = 500, sure: float = 0.98) -> Model:
     """The model from (words, shapes, meta) of labelled and pool rows; ``fold`` marks rows kept for calibration."""
     words, shapes, meta = labelled
@@ -176,19 +184,15 @@ def cotrain(labelled: tuple, pool: tuple, ys: dict[str, np.ndarray], fold: np.nd
             if not left:
                 break
             for k in (0, 1):
-                chance = 1 / (1 + np.exp(-np.clip(margin(free[k], fitted[k]), -30, 30)))
+                judge = _calibrated(views[k][fold], fitted[k], y[fold])  # how sure it may be, shown by rows it wasn't fitted to
+                chance = 1 / (1 + np.exp(-np.clip(judge.scale * margin(free[k], judge.weights) + judge.shift, -30, 30)))
                 for i in np.argsort(-chance, kind="stable")[:a_round].tolist():
                     if chance[i] >= sure:
                         given[1 - k][i] = 1.0
                 for i in np.argsort(chance, kind="stable")[:a_round].tolist():
                     if chance[i] <= 1 - sure:
                         given[1 - k][i] = 0.0
-        held, calibrated = y[fold].astype(np.float32), []
-        for k in (0, 1):
-            m = margin(views[k][fold], fitted[k])
-            spread = float(m.std()) or 1.0
-            a, b = fit((m / spread)[:, None].astype(np.float32), held, np.ones(len(held)), 1e-4, 400)
-            calibrated.append(View(fitted[k], float(a) / spread, float(b)))
+        held, calibrated = y[fold].astype(np.float32), [_calibrated(views[k][fold], fitted[k], y[fold]) for k in (0, 1)]
         both = np.stack([v.scale * margin(x[fold], v.weights) + v.shift for x, v in zip(views, calibrated)], 1).astype(np.float32)
         model.views[fault] = (*calibrated, fit(both, held, np.ones(len(held)), 1e-4, 400))
     return model
@@ -204,7 +208,7 @@ def _source(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.col("text").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled_bound: int = 12_000, pool_bound: int = 6_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled_bound: int = 10_000, pool_bound: int = 5_000, **options) -> Model:
     """Fit on bounded samples of labelled and unlabelled documents."""
     part = lambda column, share: F.pmod(F.xxhash64(column, F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20))
     marks = labels.where(F.col("doc_id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull())).groupBy("doc_id").agg((F.coalesce(F.min("quality"), F.lit(1)) == 0).cast("int").alias("low"), F.coalesce(F.max("toxic"), F.lit(0)).cast("int").alias("toxic")).withColumnRenamed("doc_id", "marked")
@@ -215,19 +219,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled_b
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words, shapes, meta = _rows(batch)
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(shapes, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64())), batch.column(5), batch.column(6)], names=["id", "words", "shape", "meta", "low", "toxic"])
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), pa.array(words, pa.list_(pa.int32())), pa.array(shapes, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64())), batch.column(5), batch.column(6)], names=["id", "words", "shape", "meta", "low", "toxic"])
 
-    schema = "id long, words array<long>, shape array<double>, meta array<long>, low int, toxic int"
+    schema = "id long, words array<int>, shape array<double>, meta array<long>, low int, toxic int"
     sample = F.broadcast(marks.where(part("marked", share)))  # about labelled_bound rows
     known = source.join(sample, F.col(id_col) == F.col("marked")).drop("marked").mapInArrow(extract, schema)
     in_pool = F.broadcast(marks.where(part("marked", pool_share)).select("marked"))  # labels are unique, so at most about pool_bound rows
     unknown = source.where(part(id_col, pool_share)).join(in_pool, F.col(id_col) == F.col("marked"), "left_anti").select("*", F.lit(0).alias("low"), F.lit(0).alias("toxic")).mapInArrow(extract, schema)
 
     def gathered(df: DataFrame) -> tuple[np.ndarray, tuple, dict[str, np.ndarray]]:
-        t = df.toArrow().combine_chunks().sort_by("id")  # a bounded sample
-        column = lambda name, kind, width: np.array(t[name].to_pylist(), kind).reshape(-1, width)
-        words = [np.asarray(x, np.int64) for x in t["words"].to_pylist()]
-        return t["id"].to_numpy(), (words, column("shape", float, 9), column("meta", np.int64, 4)), {k: t[k].to_numpy() for k in FAULTS}
+        t = df.toArrow().sort_by("id").combine_chunks()  # a bounded sample, kept in Arrow's and NumPy's arrays
+        flat = lambda name: t[name].combine_chunks().flatten().to_numpy()
+        ends = np.cumsum(pa.compute.list_value_length(t["words"]).to_numpy(), dtype=np.int64)
+        words, values = [], flat("words") if len(ends) else np.zeros(0, np.int32)
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            words.append(values[a:b])
+        shape, meta = (flat("shape"), flat("meta")) if len(ends) else (np.zeros(0), np.zeros(0, np.int64))
+        return t["id"].to_numpy(), (words, shape.reshape(-1, 9), meta.reshape(-1, 4)), {k: t[k].to_numpy() for k in FAULTS}
 
     ids, labelled, ys = gathered(known)
     _, pool, _ = gathered(unknown)
