@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from foliant.llm.near_duplicates import _grams, near_duplicate_classes, without_near_duplicates
+from foliant.llm.near_duplicates import _grams, label, near_duplicate_classes, parities, without_near_duplicates
 from foliant.llm.shingles import common_in_order, in_order_similarity, shingles, word_hashes
 from foliant.llm.suffix_dedup import remove_repeats
 
@@ -82,6 +82,20 @@ def test_shingles():
     assert len(shingles(a, 5)) == 1 and len(shingles(b, 5)) == 0 and len(shingles(c, 5)) == 1 and shingles(a, 5)[0] != shingles(c, 5)[0]
 
 
+def test_parity_maps_never_differ_more_than_texts():
+    rng = random.Random(8)
+    for _ in range(200):
+        a = [rng.randint(0, 400) for _ in range(rng.randint(0, 900))]
+        b = [x if rng.random() < 0.8 else rng.randint(0, 10_000) for x in a] + [1] * rng.randint(0, 3)
+        x, y = (label(np.array(v, np.uint64)) for v in (a, b))
+        apart = len(set(x.tolist()) ^ set(y.tolist()))
+        differ = int(np.bitwise_count((parities(x) ^ parities(y)).view(np.uint64)).sum())
+        assert differ <= apart and (apart - differ) % 2 == 0
+        if similarity(a[:80], b[:80]) >= 0.8:
+            u, v = (label(np.array(w[:80], np.uint64)) for w in (a, b))
+            assert int(np.bitwise_count((parities(u) ^ parities(v)).view(np.uint64)).sum()) * 9 <= len(u) + len(v)
+
+
 def brute_classes(rows):
     """Class of each row: components over equal texts and pairs of similarity 0.8."""
     texts = list(dict.fromkeys(r[1] or "" for r in rows))
