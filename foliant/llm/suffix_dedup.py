@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored
 from .near_duplicates import _node, _small
-from .suffix_runs import GRAM, anchors, collapse, decode_run, encode_run, entry, merge, part_of, pieces, repeated
+from .suffix_runs import GRAM, anchors, collapse, decode_run, encode_run, entry, groups, merge, part_of, pieces, repeated
 
 LENGTH, HOT, RUN_BYTES, RANGE_SUFFIXES, SAMPLE_TEXTS = 200, 50_000, 48 << 20, 40_000, 500
 
@@ -47,10 +47,11 @@ LENGTH, HOT, RUN_BYTES, RANGE_SUFFIXES, SAMPLE_TEXTS = 200, 50_000, 48 << 20, 40
 def _text_anchors(texts: list[bytes], length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, offset of the part, places, first windows, last windows, gram hashes), in order of the texts."""
     parts = [(k, a, t) for k, text in enumerate(texts) for a, t in pieces(text, length)]
-    owner, place, low, high, gram = anchors([t for _, _, t in parts], length)
-    cut = np.searchsorted(owner, np.arange(len(parts) + 1))
-    for (k, offset, _), a, b in zip(parts, cut[:-1].tolist(), cut[1:].tolist()):
-        yield k, offset, place[a:b] + offset, low[a:b] + offset, high[a:b] + offset, gram[a:b]
+    for own in groups(parts):
+        owner, place, low, high, gram = anchors([t for _, _, t in own], length)
+        cut = np.searchsorted(owner, np.arange(len(own) + 1))
+        for (k, offset, _), a, b in zip(own, cut[:-1].tolist(), cut[1:].tolist()):
+            yield k, offset, place[a:b] + offset, low[a:b] + offset, high[a:b] + offset, gram[a:b]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[bytes, int, bytes, int, int]]:

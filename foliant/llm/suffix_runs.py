@@ -31,10 +31,25 @@ def pieces(text: bytes, length: int) -> list[tuple[int, bytes]]:
     return [(a, text[a : a + PIECE + length - 1]) for a in range(0, len(text) - length + 1, PIECE)]
 
 
+def groups(parts: list[tuple[int, int, bytes]]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The parts (text, offset, bytes), in order, in groups that ``anchors`` has places for."""
+    own, size = [], 0
+    for part in parts:
+        if own and size + len(part[2]) > int(_PLACE) + 1:
+            yield own
+            own, size = [], 0
+        own.append(part)
+        size += len(part[2])
+    if own:
+        yield own
+
+
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every anchor, in order: its text, place, first and last window, and the hash of its gram."""
     none = np.zeros(0, np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
+    if len(data) > int(_PLACE) + 1:
+        raise ValueError("more bytes than places")
     if len(data) < length:
         return none, none, none, none, none.astype(np.uint64)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)

@@ -149,3 +149,21 @@ def test_chains_and_large_groups(spark):
     rows += [(200 + i, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for i in range(40)]
     rows += [(300, "tiny text of six words here"), (301, "tiny text of six words here"), (302, "x"), (303, "x "), (304, "eight words are just enough to be alike"), (305, "eight words are just enough to be alike now")]
     check_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
+def test_anchors_of_a_text_longer_than_their_places(monkeypatch):
+    from foliant.llm import suffix_dedup, suffix_runs
+
+    monkeypatch.setattr(suffix_runs, "PIECE", 1 << 10)
+    monkeypatch.setattr(suffix_runs, "_PLACE", np.uint64((1 << 11) - 1))
+    rng = random.Random(41)
+    passage = bytes(rng.choices(b"abcdefgh", k=300))
+    text = b"".join(bytes(rng.choices(b"abcdefgh", k=700)) + passage for _ in range(12))
+    place_of = {}
+    for _, _, place, low, high, _ in suffix_dedup._text_anchors([text, b"short"], 200):
+        for p, a, b in zip(place.tolist(), low.tolist(), high.tolist()):
+            for w in range(a, b + 1):
+                assert w not in place_of and 0 <= p - w <= 200 - suffix_runs.GRAM
+                place_of[w] = p
+    assert len(place_of) == len(text) - 199
+    assert {place_of[1000 * k + 750] - 1000 * k for k in range(12)} == {place_of[750]}
