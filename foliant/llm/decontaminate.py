@@ -1,9 +1,9 @@
-"""Operator 10: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 10: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 The benchmark is taken in blocks of bounded size (``block_words``), each of which is broadcast. Per block, a first
 pass over all documents counts how often each of the block's word n-grams occurs in the corpus. Each item
-then keeps as seeds the rarest of every ``window`` consecutive n-grams, so that whatever copies ``window + n - 1``
-words in a row has a seed, however frequent the passage is. A second pass finds seeds in every whole text, joins
+then keeps as seeds the rarest of every ``window`` consecutive n-grams that the corpus has: all of them by default, so that
+whatever copies ``n`` words in a row has a seed, also where other documents hold the item unchanged. A second pass finds seeds in every whole text, joins
 the passage around them to the item, and scores passage and item by local alignment of words (match 2, mismatch -1,
 gap -1). A passage counts when its score reaches ``threshold`` of that of the item itself. All of it is map-side:
 texts are never shuffled, and a passage that a third of all documents hold costs no task more than its own rows.
@@ -200,7 +200,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
         yield spark.sparkContext.broadcast(block)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 4, window: int = 4, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 3, window: int = 1, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
     """Every passage of a document that copies a benchmark item: id, item_id, score in (0, 1], word span."""
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, item_id long, score double, first_word long, end_word long"
@@ -218,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", n: int = 4, window: int = 4, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", n: int = 3, window: int = 1, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` without contaminated ones, filtered where they lie."""
     out, place = docs, docs.columns.index(text_col)
     for raw in _blocks(docs, benchmark, text_col, item_col, n, window, block_words):

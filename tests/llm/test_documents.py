@@ -219,3 +219,20 @@ def test_pipeline(spark, odd, none, tmp_path):
             spark.read.parquet(f"{folder}/{t}.parquet").write.mode("overwrite").parquet(str(tmp_path / f"{t}.parquet"))
         rows.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
         assert p.run(spark, str(tmp_path)).count() >= 0
+
+
+@pytest.mark.parametrize("every", [7, 6, 5, 4])
+def test_edited_copy_beside_exact_copies(every):
+    import inspect
+
+    from foliant.llm.decontaminate import Block
+
+    p = {k: v.default for k, v in inspect.signature(contaminated).parameters.items()}
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    item = [word() for _ in range(40)]
+    edited = [word() if k % every == every - 1 else w for k, w in enumerate(item)]
+    texts = [" ".join([word(), *t, word()]) for t in (item, item, edited)]
+    block = Block([(0, " ".join(item))], p["n"])
+    block.set_seeds(np.bincount(np.concatenate([block.count(t) for t in texts]), minlength=len(block.keys)), p["window"])
+    assert {h[0] for h in block.hits(texts, p["threshold"])} == {0, 1, 2}
