@@ -8,12 +8,19 @@ of one shingle besides.
 
 Equal texts are one node. Nodes that agree in a sketch form a bucket. Each bucket's most popular node (the one that
 shares most sketches with others, such as the original of many edited copies) is its centre, and every member is compared
-with it; a bucket of many copies so makes one pair per member. Then, until a round finds no new link, members that
-are still in another class than somebody in their bucket are compared further: all pairs of small buckets, and in large ones with
-about 32, then 1024, then 32768 nodes (and so on) that are drawn anew for each bucket and round, up to all of them. The
-round of 1024 is always made where a bucket is larger than 32, so buckets up to that size are searched whole. Pairs whose
+with it; a bucket of many copies so makes one pair per member. Then, in two rounds, members that are still in another
+class than somebody in their bucket are compared further: all pairs of small buckets, and in large ones with about 32,
+then 1024 nodes that are drawn anew for each bucket and round. So buckets of up to 1024 are searched whole. Pairs whose
 ends already are in one class are left out, since no link between them changes the result.
 
+Members of larger buckets that still hold more than one class are searched whole by their rare shingles. All texts
+have their labelled shingles in one order, those that are frequent among these members last (the frequencies come from
+a sample and only balance the groups; any order finds the same). If two texts of n and m shingles are a link, at
+most (n + m) / 9 shingles are in one of both only, and all that come before the first common one are. So its places i
+and j have i + j <= (n + m) / 9: it is among the first n / 9 of one text and, since each text has 0.8 of all, among the
+first fifth of the other. Only these are joined; a passage that all members share comes late in all of them and groups
+nobody. Of a group's largest class no pairs within are made, and groups with many pairs are dealt to many tasks.
+
 Every node has a parity map: 1024 bits, each telling whether an odd number of its labelled shingles falls there. Two maps
 differ in no more bits than the texts differ in shingles, so maps (and numbers of shingles) that are too far apart prove
 that there is no link. This is looked at inside the joins, before a pair becomes a row or moves any text.
@@ -30,7 +37,6 @@ columns besides the id and the text are ignored by ``near_duplicate_classes`` an
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +51,7 @@ SHINGLE_WORDS, SKETCHES, ORDERED, LEAST = 5, 48, 7, 0.8
 SHORT_SHINGLES, SHORT_SKETCHES = 24, 12
 SMALL_BUCKET, DRAWN = 16, 32
 MAP_LONGS = 16
+ORDER_CELLS, ORDER_TEXTS, GROUP_PAIRS = 1 << 20, 100_000, 4 << 20
 BROADCAST_BYTES = 16 << 20
 _SEEDS = mix(np.arange(1, SKETCHES + SHORT_SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -131,6 +138,68 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def _prefixes(texts: DataFrame) -> DataFrame:
+    """(token, node, class, at, shingles, starts) of the first fifth of each text's labelled shingles, rare ones first.
+
+    ``at`` is the place in that order, ``starts`` tells whether it is in the first ninth.
+    """
+    spark = texts.sparkSession
+    share = max(1, texts.count() // ORDER_TEXTS)
+    own = lambda b: label(np.frombuffer(b, np.uint64))
+    cell = lambda x: (x % np.uint64(ORDER_CELLS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.zeros(ORDER_CELLS, np.int64)
+        for batch in slices(batches, 0):
+            often += np.bincount(cell(np.concatenate([own(b) for b in batch.column(0).to_pylist()])), minlength=ORDER_CELLS)
+        k = np.flatnonzero(often)
+        yield pa.record_batch([pa.array(k, pa.int64()), pa.array(often[k], pa.int64())], names=["cell", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("grams")
+    counted = sample.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # ORDER_CELLS rows at most
+    often = np.zeros(ORDER_CELLS, np.int64)
+    often[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    frequent = spark.sparkContext.broadcast(often)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1, 2 << 20):
+            tokens, sizes = [], []
+            for b in batch.column(1).to_pylist():
+                x = own(b)
+                sizes.append(len(x))
+                tokens.append(x[np.lexsort((x, frequent.value[cell(x)]))[: int(len(x) * (1 - LEAST) + 1e-6) + 1]])
+            kept = np.array([len(x) for x in tokens], np.int64)
+            owner = np.repeat(np.arange(len(kept)), kept)
+            at, size = np.arange(len(owner)) - np.repeat(np.cumsum(kept) - kept, kept), np.array(sizes, np.int64)[owner]
+            starts = at <= size * ((1 - LEAST) / (1 + LEAST)) + 1e-6
+            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), pa.array(at), pa.array(size), pa.array(starts)], names=["token", "node", "class", "at", "shingles", "starts"])
+
+    return texts.select("node", "grams", "class").mapInArrow(prefix, "token long, node binary, class binary, at long, shingles long, starts boolean")
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in different classes, among them every link; ``left`` has (node, class, shingles, map)."""
+    postings = stored(_prefixes(stored(texts.join(_small(left.select("node", "class"), 64), "node"), "left")), "postings")
+    tokens = postings.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("starts").alias("begun")).where("low != high and begun").select("token")
+    shared = stored(postings.join(tokens, "token"), "shared")
+    by_class = shared.groupBy("token", "class").agg(F.count("*").alias("n"), F.count_if("starts").alias("first"))
+    groups = by_class.groupBy("token").agg(F.max(F.struct("n", "class", "first")).alias("main"), F.sum("n").alias("n"), F.sum("first").alias("first"))
+    parts = lambda x, y: F.ceil(F.greatest(x * y, F.lit(1)) / GROUP_PAIRS).cast("int")
+    others, main = parts(F.col("first") - F.col("main.first"), F.col("n")), parts(F.col("main.first"), F.col("n") - F.col("main.n"))
+    grouped = stored(shared.join(groups.select("token", F.col("main.class").alias("largest"), others.alias("others"), main.alias("main")), "token"), "grouped")
+    found = []
+    for of, to, n in (("class != largest", "true", "others"), ("class = largest", "class != largest", "main")):
+        x = grouped.where("starts").where(of).select("token", F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("part"), "node", "class", "at", "shingles")
+        y = grouped.where(to).select("token", F.pmod(F.xxhash64("node"), F.col(n)).cast("int").alias("part"), F.col("node").alias("node2"), F.col("class").alias("class2"), F.col("at").alias("at2"), F.col("shingles").alias("shingles2"))
+        n, m = F.col("shingles"), F.col("shingles2")
+        near = (F.least(n, m) >= LEAST * F.greatest(n, m)) & ((F.col("at") + F.col("at2")) * (1 + LEAST) <= (n + m) * (1 - LEAST) + 1e-6)
+        found.append(x.join(y, ["token", "part"]).where("class != class2").where(near).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")))
+    pairs = found[0].unionAll(found[1]).groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b")
+    side = lambda x, n, m: _small(left, 256).select(F.col("node").alias(x), F.col("shingles").alias(n), F.col("map").alias(m))
+    both = pairs.join(side("a", "n", "map"), "a").join(side("b", "m", "its_map"), "b")
+    return both.where(_may_link(F.col("n"), F.col("m"), F.col("map"), F.col("its_map"))).select("a", "b")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, node (digest of its text), class_id (smallest id of its class), and kept.
 
@@ -176,7 +245,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     star = members.join(centre, "bucket").where(F.col("node") != F.col("centre")).where(alike).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     tried = stored(star.groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b"), "pairs")
     found, classes = stored(_verified(tried, texts), "links"), involved.select("node", F.col("node").alias("class"))
-    for turn in itertools.count():
+    for turn in range(2):
         classes = _components(classes, found)
         placed = members.join(_small(classes, 64), "node")
         opened = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
@@ -190,9 +259,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         more = large.join(second, "bucket").where("class != its").where(alike).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         fresh = stored(pairs.unionAll(more).groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b").join(_small(tried, 64), ["a", "b"], "left_anti"), "pairs")
         found = stored(_verified(fresh, texts), "links")
-        if found.isEmpty() and (turn or large.where(F.col("size") > DRAWN).isEmpty()):
-            break
         tried = tried.unionAll(fresh)
+        if found.isEmpty() and large.where(F.col("size") > DRAWN).isEmpty():
+            break
+    classes = _components(classes, found)
+    huge = members.where(F.col("size") > DRAWN**2)
+    if not huge.isEmpty():  # all smaller buckets have been searched whole
+        placed = huge.join(_small(classes, 64), "node")
+        opened = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("bucket")
+        left = stored(placed.join(opened, "bucket").groupBy("node").agg(*(F.first(c).alias(c) for c in ("class", "shingles", "map"))), "left-nodes")
+        if not left.isEmpty():
+            fresh = stored(_prefix_pairs(left, texts).join(_small(tried, 64), ["a", "b"], "left_anti"), "pairs")
+            classes = _components(classes, stored(_verified(fresh, texts), "links"))
     named = nodes.join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "first")
     names = named.groupBy("class").agg(F.min("first").alias("class_id"), F.min(F.struct(F.col("first").isNull(), "first", "node")).alias("keeper")).select("class", "class_id", F.col("keeper.node").alias("keeper"))
     result = named.join(names, "class").select("node", "class_id", "keeper", "first")

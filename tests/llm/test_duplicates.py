@@ -151,6 +151,24 @@ def test_chains_and_large_groups(spark):
     check_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
+def test_links_in_a_bucket_too_large_for_drawn_centres(spark, monkeypatch):
+    """One bucket of texts that share a passage, each just unlike the others, and a few pairs among them that are links."""
+    from foliant.llm import near_duplicates as nd
+
+    monkeypatch.setattr(nd, "sketches", lambda labelled: np.ones(1, np.uint64))
+    monkeypatch.setattr(nd, "DRAWN", 1)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage, rows = [word() for _ in range(125)], []
+    for i in range(60):
+        own = [word() for _ in range(26)]
+        rows.append((i, " ".join(own[:13] + passage + own[13:])))
+        if i % 15 == 0:
+            rows.append((1000 + i, " ".join(own[:13] + passage + [word() for _ in range(5)] + own[18:])))
+    rows += [(2000 + i, " ".join(passage + [word() for _ in range(2 + i)])) for i in range(3)]
+    check_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+
+
 def test_anchors_of_a_text_longer_than_their_places(monkeypatch):
     from foliant.llm import suffix_dedup, suffix_runs
 
