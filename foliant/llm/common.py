@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); on one machine alone a temporary one will do."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        if not context.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="foliant-")  # one machine: tests and trials
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
     return path.rstrip("/")
@@ -42,6 +45,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(df: DataFrame, part_bytes: int = 64 << 20) -> int:
+    """Into how many parts a shuffle of ``df`` should go: by its size as the optimizer knows it, the session's setting at least."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(known / part_bytes)) if known < 1 << 55 else least  # plans of unknown size say 2**63 or so
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``max_bytes`` in each, one row at least."""
     for batch in batches:

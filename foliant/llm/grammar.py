@@ -5,82 +5,101 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 _MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIQQI")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _frequent_pairs(keys: np.ndarray, valid: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The keys that occur ``least`` times or more, the ``most`` most frequent of them, sorted by key."""
+def _frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur ``least`` times or more, sorted, and how often each does."""
     slot = ((keys * _MIX) >> np.uint64(44)).astype(np.int32)
-    often = np.bincount(slot[valid], minlength=1 << 20) >= least
-    kept = keys[valid & often[slot]]
+    kept = keys[(np.bincount(slot, minlength=1 << 20) >= least)[slot]]
     kept.sort()
-    if not len(kept):
-        return kept
-    starts = np.flatnonzero(np.concatenate(([True], kept[1:] != kept[:-1])))
+    starts = np.flatnonzero(np.concatenate(([True], kept[1:] != kept[:-1]))) if len(kept) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(kept)))
     good = counts >= least
-    pairs, counts = kept[starts[good]], counts[good]
-    if len(pairs) > most:
-        pairs = pairs[np.argsort(-counts, kind="stable")[:most]]
-    return np.sort(pairs)
-
-
-def _chosen(keys: np.ndarray, valid: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of non-overlapping occurrences of ``pairs``, from left to right in each run, and the pair of each."""
-    table = np.full(1 << 21, -1, dtype=np.int32)
-    table[(pairs * _MIX) >> np.uint64(43)] = np.arange(len(pairs))  # of pairs in one slot, one waits for the next round
-    which = table[(keys * _MIX) >> np.uint64(43)]
-    at = np.flatnonzero((which >= 0) & valid)
-    which = which[at]
-    hit = pairs[which] == keys[at]
-    at, which = at[hit], which[hit]
-    if not len(at):
-        return at, which
-    first = np.concatenate(([True], np.diff(at) != 1))
-    run_start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    even = (np.arange(len(at)) - run_start) % 2 == 0
-    return at[even], which[even]
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = 3, least: int = 6, rules_a_round: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Replace frequent id pairs by new symbols, round after round.
-
-    ``ends`` has the exclusive end of each document in ``ids``; no rule spans two documents. Returns the rules
+    return kept[starts[good]], counts[good]
+
+
+def _places(keys: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The index of each key among ``pairs`` (sorted), or -1."""
+    slot = lambda x: (x * _MIX) >> np.uint64(45)
+    table = np.full(1 << 19, -1, np.int32)
+    table[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+    which = table[slot(keys)]
+    wrong = np.flatnonzero((which >= 0) & (pairs[which] != keys))  # another pair has the slot
+    found = np.minimum(np.searchsorted(pairs, keys[wrong]), len(pairs) - 1)
+    which[wrong] = np.where(pairs[found] == keys[wrong], found, -1)
+    return which
+
+
+def _chosen(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which occurrences (positions in order, a rank of the pair at each) are replaced: of two that overlap the one of lower rank.
+
+    Of occurrences of one pair that overlap each other, every other one from the left.
+    """
+    near = np.diff(at) == 1
+    best = np.ones(len(at), bool)
+    best[1:] &= ~(near & (rank[1:] > rank[:-1]))
+    best[:-1] &= ~(near & (rank[:-1] > rank[1:]))
+    same = np.flatnonzero(near & best[1:] & best[:-1])  # with the next one
+    if len(same):
+        run = np.maximum.accumulate(np.where(np.diff(same, prepend=-2) != 1, same, 0))
+        best[same[(same - run) % 2 == 0] + 1] = False
+    return best
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, least: int = 6, gain: float = 0.001, rounds: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace frequent id pairs by new symbols, the most frequent ones first, until that pays no more.
+
+    ``ends`` has the exclusive end of each document in ``ids``; no rule spans two documents. A round counts pairs and
+    replaces all that occur ``least`` times or more, the more frequent ones before those that they overlap. After it only
+    pairs next to a new symbol, and those left over, can be frequent: the next one looks at these alone. It ends
+    with a round that shortens the sequence by a share under ``gain`` (``rounds`` is a bound that is not met). Returns the rules
     (left, right; rule r makes symbol vocabulary + r), the remaining sequence, and the ends in that sequence.
     """
-    seq, rules = ids.astype(np.uint64), np.zeros((0, 2), dtype=np.uint32)
+    seq, rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)]
     last = np.zeros(len(seq), dtype=bool)
     last[ends[ends > 0] - 1] = True
+    active, n_rules = np.flatnonzero(~last[:-1]), 0
     for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        keys, valid = (seq[:-1] << np.uint64(32)) | seq[1:], ~last[:-1]
-        pairs = _frequent_pairs(keys, valid, least, rules_a_round)
+        keys = seq[active].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= seq[active + 1]
+        pairs, counts = _frequent_pairs(keys, least)
         if not len(pairs):
             break
-        at, which = _chosen(keys, valid, pairs)
-        uses = np.bincount(which, minlength=len(pairs))
-        paying = uses >= least // 2 + 1  # a rule costs two ids, and each use saves one
-        new_rule = np.cumsum(paying) - 1
-        at, which = at[paying[which]], which[paying[which]]
-        if len(at) * 100 < len(seq):
+        which = _places(keys, pairs)
+        at, which = active[which >= 0], which[which >= 0]
+        rank = np.empty(len(pairs), np.int32)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(pairs), dtype=np.int32)
+        taken = _chosen(at, rank[which])
+        paying = np.bincount(which[taken], minlength=len(pairs)) >= least // 2 + 1  # a rule costs two ids, and each use saves one
+        taken &= paying[which]
+        new, new_which = at[taken], which[taken]
+        if len(new) < gain * len(seq) or not len(new):
             break
-        pairs = pairs[paying]
-        symbol = np.uint64(vocabulary + len(rules))
-        rules = np.concatenate((rules, np.stack((pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32)))
-        seq[at] = symbol + new_rule[which].astype(np.uint64)
-        last[at] = last[at + 1]
+        seq[new] = (vocabulary + n_rules + np.cumsum(paying) - 1).astype(np.uint32)[new_which]
+        rules.append(np.stack((pairs[paying] >> np.uint64(32), pairs[paying] & np.uint64(0xFFFFFFFF)), 1).astype(np.uint32))
+        n_rules += int(paying.sum())
+        last[new] = last[new + 1]
+        open_pair = np.zeros(len(seq), bool)
+        open_pair[at] = True
+        open_pair[new] = True
+        open_pair[new[new > 0] - 1] = True
+        behind = new[new > 1] - 2  # where the symbol before was the second of a pair that went too
+        open_pair[behind] = True
         stay = np.ones(len(seq), dtype=bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        stay[new + 1] = False
+        seq, last, open_pair = seq[stay], last[stay], open_pair[stay]
+        active = np.flatnonzero(open_pair[:-1] & ~last[:-1])
     closed = np.flatnonzero(last) + 1
     new_ends = np.zeros(len(ends), dtype=np.int64)
     filled = np.diff(np.concatenate(([0], ends))) > 0
     new_ends[filled] = closed
-    return rules, seq.astype(np.uint32), np.maximum.accumulate(new_ends) if len(new_ends) else new_ends
+    return np.concatenate(rules), seq, np.maximum.accumulate(new_ends) if len(new_ends) else new_ends
 
 
 def lengths_of(rules: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -113,24 +132,28 @@ def expand(seq: np.ndarray, rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return seq
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Symbols under 2**24 as three bytes each."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """Symbols in ``width`` bytes each."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
 
 
-def _wide(raw: memoryview, n: int) -> np.ndarray:
+def _wide(raw: memoryview, n: int, width: int) -> np.ndarray:
     out = np.zeros((n, 4), dtype=np.uint8)
-    out[:, :3] = np.frombuffer(raw, np.uint8, n * 3).reshape(n, 3)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width).reshape(n, width)
     return out.view("<u4").reshape(n)
 
 
+def _width(symbols: int) -> int:
+    """Bytes that symbols under ``symbols`` need."""
+    return max(1, ((symbols - 1).bit_length() + 7) // 8)
+
+
 def pack(ids: np.ndarray, ends: np.ndarray, vocabulary: int) -> bytes:
     """One shard: header, rules, expansion lengths, each document's end in ids and in symbols, and the symbols."""
     rules, seq, seq_ends = compress(ids, ends, vocabulary)
-    if vocabulary + len(rules) >= 1 << 24:
-        raise ValueError("symbols must stay under 2**24")
+    width = _width(vocabulary + len(rules))
     head = _HEAD.pack(_MAGIC, vocabulary, len(rules), len(seq), len(ids), len(ends))
-    return b"".join((head, _narrow(rules.reshape(-1)), lengths_of(rules, vocabulary).astype("<u4").tobytes(), np.asarray(ends, "<i8").tobytes(), seq_ends.astype("<i8").tobytes(), _narrow(seq)))
+    return b"".join((head, _narrow(rules.reshape(-1), width), lengths_of(rules, vocabulary).astype("<u4").tobytes(), np.asarray(ends, "<i8").tobytes(), seq_ends.astype("<i8").tobytes(), _narrow(seq, width)))
 
 
 class Shard:
@@ -141,14 +164,21 @@ class Shard:
         if magic != _MAGIC:
             raise ValueError("not a Re-Pair shard")
         view, at = memoryview(blob), _HEAD.size
-        self.rules, at = _wide(view[at:], 2 * n_rules).reshape(-1, 2), at + 6 * n_rules
+        width = _width(self.vocabulary + n_rules)
+        self.rules, at = _wide(view[at:], 2 * n_rules, width).reshape(-1, 2), at + 2 * width * n_rules
         self.lengths, at = np.frombuffer(view, "<u4", n_rules, at).astype(np.int64), at + 4 * n_rules
         self.ends, at = np.frombuffer(view, "<i8", n_docs, at), at + 8 * n_docs
         self.seq_ends, at = np.frombuffer(view, "<i8", n_docs, at), at + 8 * n_docs
-        self.seq = _wide(view[at:], n_seq)
+        self.seq = _wide(view[at:], n_seq, width)
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.vocabulary)
+        """The ids of all documents, every symbol copied from its expansion."""
+        terminals = np.arange(self.vocabulary, dtype=np.uint32)
+        rules = expand(np.arange(self.vocabulary, self.vocabulary + len(self.rules)), self.rules, self.vocabulary)
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate((np.ones(self.vocabulary, np.int64), self.lengths))))).astype(np.int64) * 4
+        known = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(terminals.tobytes() + rules.tobytes())])
+        data = known.take(pa.array(self.seq)).buffers()[2]
+        return np.frombuffer(data, np.uint32, self.n_ids) if self.n_ids else np.zeros(0, np.uint32)
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard's document ``k``; only the symbols they lie in are expanded."""

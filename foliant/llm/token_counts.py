@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +31,11 @@ SCHEMA = "{id} {type}, n_bytes long, n_tokens long, over_limit boolean"
 
 def _pack(counts: Counter, keep: int) -> bytes:
     top = counts.most_common(keep)
-    return zlib.compress("\n".join(f"{n} {w}" for w, n in top).encode("utf-8", "surrogatepass"), 1)
+    return zlib.compress("\n".join(f"{n} {w}" for w, n in top).encode(), 1)
 
 
 def _unpack(blob: bytes) -> Counter:
-    lines = zlib.decompress(blob).decode("utf-8", "surrogatepass").split("\n") if blob else []
+    lines = zlib.decompress(blob).decode().split("\n") if blob else []
     return Counter({w: int(n) for n, _, w in (x.partition(" ") for x in lines) if w})
 
 
@@ -44,12 +45,12 @@ def frequent_words(docs: DataFrame, text_col: str = "text", table_size: int = 65
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(text.split())
+            each = pc.ascii_split_whitespace(batch.column(0).fill_null("")).flatten().value_counts()
+            often = each.filter(pc.and_(pc.greater(each.field("counts"), 1), pc.less_equal(pc.utf8_length(each.field("values")), LONGEST_KEPT)))
+            counts.update(dict(zip(often.field("values").to_pylist(), often.field("counts").to_pylist())))
             if len(counts) > 6 * table_size:
                 counts = Counter(dict(counts.most_common(2 * table_size)))
-        counts = Counter({w: n for w, n in counts.items() if n > 1 and len(w) <= LONGEST_KEPT})
+        counts.pop("", None)
         yield pa.record_batch([pa.array([_pack(counts, table_size)], pa.binary())], names=["words"])
 
     merge = lambda a, b: _pack(_unpack(a) + _unpack(b), table_size) if a and b else a or b
@@ -59,19 +60,17 @@ def frequent_words(docs: DataFrame, text_col: str = "text", table_size: int = 65
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, table_size: int = 65_536) -> DataFrame:
     """Bytes and tokens of every text, and whether it has more than ``limit`` tokens."""
-    words = frequent_words(docs, text_col, table_size)
-    lengths = np.array([(len(x) // encoder(tokenizer_path).width.itemsize) for x in encoder(tokenizer_path).encode(words)], dtype="<u2")
+    words = frequent_words(docs, text_col, table_size) if encoder(tokenizer_path).by_words else []
+    lengths = encoder(tokenizer_path).encode(pa.array(words, pa.string()))[1].astype("<u2")
     compact = docs.sparkSession.sparkContext.broadcast(("\n".join(words), lengths.tobytes()))
-    built: dict[int, dict[str, int]] = {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, sizes = compact.value
-        frequent = built.setdefault(0, dict(zip(joined.split("\n"), np.frombuffer(sizes, "<u2").tolist())) if sizes else {})
+        frequent, sizes = pa.array(joined.split("\n") if joined else [], pa.string()), np.frombuffer(sizes, "<u2").astype(np.int64)
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = encoder(tokenizer_path).document_lengths(texts, frequent)
-            n_bytes = pa.compute.cast(pa.compute.binary_length(batch.column(1)).fill_null(0), pa.int64())
-            yield pa.record_batch([batch.column(0), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            n = encoder(tokenizer_path).document_lengths(batch.column(1), frequent, sizes)
+            n_bytes = pc.cast(pc.binary_length(batch.column(1)).fill_null(0), pa.int64())
+            yield pa.record_batch([batch.column(0), n_bytes, pa.array(n, pa.int64()), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     return source.mapInArrow(count, SCHEMA.format(id=f"`{id_col}`", type=source.schema[0].dataType.simpleString()))

@@ -1,14 +1,14 @@
 """Operator 7: token ids in Re-Pair compressed shards with random access.
 
-Documents are range-partitioned by id and sorted, so that part by part their ids follow each other in ascending
-document order. Each task encodes its texts with the worker's word cache, appends the end id to every
+Documents are range-partitioned by id (rows of one id by the beginnings of their texts) and sorted, so that part by part
+their ids follow each other in ascending document order. Each task encodes its texts, appends the end id to every
 document, gathers documents into shards of about ``shard_ids`` ids and writes each as one packed grammar:
 rules, expansion lengths, document ends, symbols (see ``grammar``). The shards are rows of a Parquet table with
 their part, number and document ids, in a folder that all executors share. A document longer than a shard has a
 shard of its own.
 
-Rules of a round are counted together and replaced together: the most frequent pairs first, occurrences that
-overlap from left to right.
+Pairs are replaced in rounds until that pays no more: all frequent pairs of a round at once, where they overlap the most
+frequent one, of one pair from left to right.
 
 Defined cases: null and empty texts hold the end id alone; documents with equal ids stay separate and are
 ordered by text; null ids come first; columns besides the id and the text are ignored whatever their names; an
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices
+from .common import parts_for, scratch, slices
 from .grammar import Shard, pack
 from .pretokens import encoder
 
@@ -35,33 +35,43 @@ SHARD_SCHEMA = "part int, shard int, n_ids long, doc_ids array<long>, content bi
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, shard_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Encode every text and write the shards below ``path``."""
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = source.repartitionByRange(parts, F.col("id")).sortWithinPartitions("id", "text")
+    ordered = source.repartitionByRange(parts or parts_for(source), F.col("id"), F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard = TaskContext.get().partitionId(), 0
-        ids, raw, size = [], [], 0
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # document ids, token counts, tokens
+        size = 0
         e = encoder(tokenizer_path)
-        end, width = np.array([end_id], e.width).tobytes(), e.width.itemsize
         vocabulary = max(e.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
 
         def packed() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // width for x in raw], dtype=np.int64)
-            content = pack(np.frombuffer(b"".join(raw), e.width), ends, vocabulary)
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([content], pa.binary())], names=["part", "shard", "n_ids", "doc_ids", "content"])
+            docs, counts, ids = zip(*held)
+            ends = np.cumsum(np.concatenate(counts))
+            own = pa.concat_arrays(docs)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([pack(np.concatenate(ids), ends, vocabulary)], pa.binary())], names=["part", "shard", "n_ids", "doc_ids", "content"])
 
         for batch in slices(batches):
-            encoded = e.document_ids([t or "" for t in batch.column(1).to_pylist()])
-            for doc, x in zip(batch.column(0).to_pylist(), encoded):
-                if raw and size + len(x) // width + 1 > shard_ids:
+            bare, counts = e.document_ids(batch.column(1))
+            counts = counts + 1
+            ends = np.cumsum(counts)
+            ids, is_end = np.full(int(ends[-1]), end_id, np.uint32), np.zeros(int(ends[-1]), bool)
+            is_end[ends - 1] = True
+            ids[~is_end] = bare
+            start = 0
+            while start < len(counts):
+                before = int(ends[start - 1]) if start else 0
+                stop = int(np.searchsorted(ends, before + shard_ids - size, "right"))
+                if stop == start and not held:
+                    stop += 1
+                if stop > start:
+                    held.append((batch.column(0)[start:stop], counts[start:stop], ids[before : int(ends[stop - 1])]))
+                    size += int(ends[stop - 1]) - before
+                    start = stop
+                if start < len(counts):
                     yield packed()
-                    ids, raw, size, shard = [], [], 0, shard + 1
-                ids.append(doc)
-                raw.append(x + end)
-                size += len(x) // width + 1
-        if raw:
+                    held, size, shard = [], 0, shard + 1
+        if held:
             yield packed()
 
     ordered.mapInArrow(encode, SHARD_SCHEMA).write.parquet(path)

@@ -66,3 +66,61 @@ def test_grammar_round_trip_and_random_access():
             assert np.array_equal(shard.document(k, a, b), d[a:b])
         if letters == 2 and n_docs > 1:
             assert len(shard.seq) < len(ids) / 3 and len(shard.rules)
+
+
+SIGNS = [" ", "\n", "\x0b", "\x1c", "\x1d", "\x1f", "\x85", "\xa0", "\u3000", "\0", "\x01", "'", "'s", "'LL", "a", "B", "é", "É", "ß", "ÿ", "Ÿ", "ſ", "K", "Å", "Σ", "ΣΑΣ", "İ", "1", "²", "٣", "!", "?!", "<|endoftext|>", "<|", "|>", "漢", "😀", "\u0301", "e\u0301", "ª", "×", "\u200b", "the", "and"]
+
+
+def test_any_signs_encode_as_in_the_library(library):
+    import random
+
+    import pyarrow as pa
+
+    from foliant.llm.pretokens import encoder
+
+    rng, e = random.Random(17), encoder(PATH)
+    assert e.by_words
+    texts = ["\x1f", " \x1c ", "a\x1fb", "", None, " ", "a" * 70, *("".join(rng.choices(SIGNS, k=rng.randint(0, 14))) for _ in range(5000))]
+    want = [ids_of(library, t) for t in texts]
+    ids, n = e.document_ids(pa.array(texts))
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    for bound in (0, 50, 10_000):
+        e.bound = bound
+        assert e.document_lengths(pa.array(texts), pa.array(["a", "the"]), np.array([1, 1])).tolist() == n.tolist()
+
+
+def test_files_of_another_make_are_encoded_whole(library, tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    from foliant.llm.pretokens import WordEncoder
+
+    made = json.load(open(PATH))
+    made["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    e = WordEncoder(str(tmp_path / "other.json"))
+    texts = ["a b  c", "", None, "the end"]
+    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, n = e.document_ids(pa.array(texts))
+    assert not e.by_words and ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want]
+    assert e.document_lengths(pa.array(texts), pa.array([], pa.string()), np.zeros(0, np.int64)).tolist() == n.tolist()
+
+
+def test_grammar_goes_on_until_nothing_pays():
+    """A passage of 64 ids that many documents share ends as one symbol, and no frequent pair is left."""
+    from collections import Counter
+
+    from foliant.llm.grammar import compress
+
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 1000, 64)
+    docs = [np.concatenate((rng.integers(0, 40_000, 20), passage, rng.integers(0, 40_000, 20))) for _ in range(200)]
+    ids, ends = np.concatenate(docs).astype(np.uint32), np.cumsum([len(d) for d in docs])
+    rules, seq, seq_ends = compress(ids, ends, 40_000, gain=0)
+    assert len(seq) <= 200 * 41 and Shard(pack(ids, ends, 40_000)).all_ids().tolist() == ids.tolist()
+    pairs = Counter()
+    for a, b in zip([0, *seq_ends[:-1].tolist()], seq_ends.tolist()):
+        pairs.update(zip(seq[a : b - 1].tolist(), seq[a + 1 : b].tolist()))
+    assert max(pairs.values()) < 6
+    assert len({tuple(r) for r in rules.tolist()}) == len(rules)
