@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, bytes_a_row: int, most: int = 16 << 20) -> DataFrame:
+    """``df`` (a stored table) broadcast if its rows, counted now, take ``most`` bytes at most; else joins shuffle it."""
+    return F.broadcast(df) if df.count() * bytes_a_row <= most else df
+
+
 def parts_for(df: DataFrame, part_bytes: int = 64 << 20) -> int:
     """Into how many parts a shuffle of ``df`` should go: by its size as the optimizer knows it, the session's setting at least."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
+from .common import small as _small
 from .shingles import in_order_similarity, mix, occurrences, shingles, word_hashes
 
 SHINGLE_WORDS, SKETCHES, ORDERED, LEAST = 5, 48, 7, 0.8
@@ -92,7 +93,8 @@ def _grams(texts: list[str]) -> list[np.ndarray]:
 
 
 def _node(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    """The first 16 bytes of a text's SHA-256 digest: equal texts have one node, different ones can't be made to share it."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
 
 
 def _may_link(n: Column, m: Column, x: Column, y: Column) -> Column:
@@ -101,11 +103,6 @@ def _may_link(n: Column, m: Column, x: Column, y: Column) -> Column:
     return (F.least(n, m) >= LEAST * F.greatest(n, m)) & (differ * (1 + LEAST) <= (n + m) * (1 - LEAST) + 1e-6)
 
 
-def _small(df: DataFrame, bytes_a_row: int) -> DataFrame:
-    """``df`` (a stored table) broadcast if it is known to be small; else joins shuffle it."""
-    return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df
-
-
 def _components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, class) after joining the classes that new links (a, b) connect; a class is named by its smallest node."""
     while True:

@@ -1,12 +1,14 @@
-"""NumPy kernels on words and word shingles of many texts at once."""
+"""NumPy kernels on bytes, words and word shingles of many texts at once, in memory bounded by pieces of texts."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
 
-from .merkle import _power_tables
+import numpy as np
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.multiply.accumulate(np.full(1 << 16, _MIX))
+PIECE = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -16,21 +18,88 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of texts as (bytes, end of each text in them, number of each text), about ``most`` bytes in each.
+
+    A longer text comes in parts that end at white space (or where the word ends that passes the limit). A line feed stands
+    behind every text or part.
+    """
+    own, numbers, size = [], [], 0
+
+    def group() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.frombuffer(b"\n".join(own) + b"\n", np.uint8), np.cumsum([len(t) + 1 for t in own], dtype=np.int64), np.array(numbers, np.int64)
+
+    for k, text in enumerate(texts):
+        start = 0
+        while True:
+            stop = len(text)
+            if stop - start > most:
+                stop = start + most
+                stop = next((at + 1 for at in range(stop - 1, max(start, stop - 4096), -1) if text[at] in b" \n\t\r\v\f"), stop)
+                if text[stop - 1] not in b" \n\t\r\v\f":
+                    ends = [x for x in (text.find(c, stop) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f")) if x >= 0]
+                    stop = min(ends, default=len(text) - 1) + 1
+            if own and size + stop - start > most:
+                yield group()
+                own, numbers, size = [], [], 0
+            own.append(text[start:stop])
+            numbers.append(k)
+            size += stop - start
+            start = stop
+            if start >= len(text):
+                break
+    if own:
+        yield group()
+
+
+def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and the place after the last of each run of true values."""
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def span_hashes(data: np.ndarray, inside: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of bytes between ``first`` and ``last``, which ``inside`` marks."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    size = last - first
+    start = np.cumsum(size) - size
+    value = data[inside].astype(np.uint64)
+    value += np.uint64(1)
+    place = np.arange(len(value), dtype=np.int64)
+    place -= np.repeat(start, size)
+    place &= len(_FACTORS) - 1
+    value *= _FACTORS[place]
+    return mix(np.add.reduceat(value, start) + size.astype(np.uint64) * _MIX)
+
+
+def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """64-bit polynomial hashes of all strings of ``length`` bytes."""
+    block, size, out, done = data.astype(np.uint64) + np.uint64(1), 1, None, 0
+    while True:
+        factor = np.uint64(pow(int(_MIX), size, 1 << 64))
+        if length & size:
+            n = max(0, len(data) - size - done + 1)
+            out = block if out is None else out[:n] * factor + block[done : done + n]
+            done += size
+        if done == length:
+            return out
+        n = max(0, len(data) - 2 * size + 1)
+        block = block[:n] * factor + block[size : size + n]
+        size *= 2
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """64-bit hashes of the words (runs of bytes but ASCII white space) of each text."""
-    joined = b"\n".join(texts)
-    data = np.frombuffer(joined, np.uint8)
-    if not len(data):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    solid = (data != 32) & ((data < 9) | (data > 13))
-    edge = np.diff(np.concatenate(([0], solid.view(np.int8), [0])))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _power_tables(len(data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    value = mix((total[last] - total[first]) * inverse[first])
-    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
-    upto = np.searchsorted(first, ends - 1, "left")
-    return [value[a:b] for a, b in zip(np.concatenate(([0], upto[:-1])).tolist(), upto.tolist())]
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    for data, ends, numbers in pieces(texts):
+        solid = (data != 32) & ((data < 9) | (data > 13))
+        first, last = spans(solid)
+        value = span_hashes(data, solid, first, last)
+        upto = np.searchsorted(first, ends, "left").tolist()
+        for k, a, b in zip(numbers.tolist(), [0, *upto[:-1]], upto):
+            out[k].append(value[a:b])
+    return [x[0] if len(x) == 1 else np.concatenate([*x, np.zeros(0, np.uint64)]) for x in out]
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

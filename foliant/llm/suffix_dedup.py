@@ -9,7 +9,7 @@ repeated wholly and are sorted once. Of the others, suffixes are taken at conten
    their first bytes (splitters come from a bounded sample of documents; they only balance the ranges).
 3. Each range merges its runs with a loser tree that compares no prefix twice. The shared prefixes that come out show
    which suffixes are equal as far as their windows reach (all of these are repeated) and which share an anchor; among
-   the latter, windows are compared one by one.
+   the latter, windows are compared one by one, by hashes first and then byte by byte.
 4. Stretches of repeated windows are gathered per text, and texts that have any are cut.
 
 A gram with more than ``hot`` anchors would make its range too large for a task. Its suffixes are counted by digest
@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .near_duplicates import _node, _small
+from .common import small as _small
+from .near_duplicates import _node
 from .suffix_runs import GRAM, anchors, collapse, decode_run, encode_run, entry, groups, merge, part_of, pieces, repeated
 
 LENGTH, HOT, RUN_BYTES, RANGE_SUFFIXES, SAMPLE_TEXTS = 200, 50_000, 48 << 20, 40_000, 500

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import zstandard
 
-from .merkle import _power_tables
-from .shingles import mix
+from .shingles import mix, window_hashes
 
 GRAM = 40
-PIECE = 4 << 20
-_PLACE = np.uint64((1 << 23) - 1)
+PIECE = 1 << 20
+_PLACE = np.uint64((1 << 21) - 1)
 Entry = tuple[bytes, int, list[tuple[bytes, int]]]  # string, bytes before the anchor, (text, start of the first window)
 
 
@@ -53,12 +52,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     if len(data) < length:
         return none, none, none, none, none.astype(np.uint64)
     ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-    power, inverse = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64, out=total[1:])
-    n = len(data) - GRAM + 1
-    value = mix((total[GRAM:] - total[:-GRAM]) * inverse[:n])
-    least = (value & ~_PLACE) | np.arange(n, dtype=np.uint64)
+    value = mix(window_hashes(data, GRAM))
+    least = (value & ~_PLACE) | np.arange(len(value), dtype=np.uint64)
     width, have = length - GRAM + 1, 1
     while 2 * have <= width:
         least = np.minimum(least[:-have], least[have:])
@@ -211,18 +206,16 @@ def repeated(group: list[list[Entry]], length: int) -> Iterator[tuple[bytes, int
     wholes = [s[len(s) - b :][::-1] + s[: len(s) - 1 - b] for _, (s, b, _) in entries]
     data = np.frombuffer(b"".join(wholes), np.uint8)
     sizes = np.array([len(w) for w in wholes], np.int64)
-    power, inverse = _power_tables(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64, out=total[1:])
     counts, firsts = sizes - length + 1, np.cumsum(sizes) - sizes
     inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.repeat(firsts, counts) + inside
     of_group = mix(np.array([g for g, _ in entries], np.uint64) + np.uint64(1))
-    value = mix((total[at + length] - total[at]) * inverse[at]) ^ np.repeat(of_group, counts)
+    value = mix(window_hashes(data, length)[at]) ^ np.repeat(of_group, counts)
     order = np.argsort(value, kind="stable")
     same = value[order][1:] == value[order][:-1]
     again = np.zeros(len(value), bool)
     again[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    _prove(again, same, order, at, data, length)
     for k, (a, n) in enumerate(zip((np.cumsum(counts) - counts).tolist(), counts.tolist())):
         members = entries[k][1][2]
         runs = [(0, n)] if len(members) > 1 else _runs(again[a : a + n])
@@ -230,6 +223,27 @@ def repeated(group: list[list[Entry]], length: int) -> Iterator[tuple[bytes, int
             yield from ((text, start + x, start + y - 1 + length) for x, y in runs)
 
 
+def _prove(again: np.ndarray, same: np.ndarray, order: np.ndarray, at: np.ndarray, data: np.ndarray, length: int) -> None:
+    """Compare the bytes of windows with equal hashes; where some differ, ``again`` is set by bytes alone."""
+    pairs, reach = np.flatnonzero(same), np.arange(length)
+    for k in range(0, len(pairs), 20_000):
+        part = pairs[k : k + 20_000]
+        equal = np.ones(len(part), bool)
+        x, y = at[order[part]], at[order[part + 1]]
+        for a in range(0, length, 50):  # most windows that differ do so early; the rest is compared in steps
+            step = reach[a : a + 50]
+            equal &= (data[x[:, None] + step] == data[y[:, None] + step]).all(axis=1)
+        for bad in part[~equal].tolist():
+            low = high = bad
+            while low and same[low - 1]:
+                low -= 1
+            while high < len(same) and same[high]:
+                high += 1
+            members = order[low : high + 1].tolist()
+            strings = [data[at[m] : at[m] + length].tobytes() for m in members]
+            again[members] = [strings.count(x) > 1 for x in strings]
+
+
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
