@@ -256,7 +256,7 @@ def choose_words(source: DataFrame, marks: DataFrame, least: int = 8) -> np.ndar
         at = np.flatnonzero(sums[0])
         yield pa.record_batch([pa.array(at, pa.int32()), *(pa.array(x[at]) for x in sums)], names=["word", "n", *FAULTS])
 
-    labelled = source.join(marks.where("not fold"), F.col("id") == F.col("marked")).select("text", *FAULTS)
+    labelled = source.join(small(marks.where("not fold"), 32), F.col("id") == F.col("marked")).select("text", *FAULTS)
     counts = stored(labelled.mapInArrow(count, "word int, n long, low long, toxic long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", *FAULTS))), "word-counts")
     total = counts.where(F.col("word") == HASHED).first()
     place = np.full(HASHED, -1, np.int16)
@@ -346,7 +346,6 @@ def _surest(unlabelled: DataFrame, model: Model, judges: dict[tuple[str, int], V
 
 def train(found: DataFrame, marks: DataFrame, place: np.ndarray, labelled_bound: int = 12_000, rounds: int = 3, a_round: int = 500, sure: float = 0.98) -> Model:
     """The model from ``features`` and ``_marks``."""
-    marks = stored(marks, "marks")
     joined = found.join(small(marks, 32), F.col("id") == F.col("marked"), "left")
     unlabelled = joined.where("marked is null")
     share = min(1.0, labelled_bound / max(1, marks.count()))
@@ -390,7 +389,7 @@ def train(found: DataFrame, marks: DataFrame, place: np.ndarray, labelled_bound:
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.6, **options) -> DataFrame:
     """Chances of both faults, the score (chance of neither) and whether each document is kept."""
-    source, marks = _source(docs, id_col), _marks(labels)
+    source, marks = _source(docs, id_col), stored(_marks(labels), "marks")
     place = choose_words(source, marks)
     found = features(source, place)
     model = docs.sparkSession.sparkContext.broadcast(train(found, marks, place, **options))
@@ -407,7 +406,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.6, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, filtered where they lie: only a text and its metadata go through Python, once more."""
-    source, marks = _source(docs, id_col), _marks(labels)
+    source, marks = _source(docs, id_col), stored(_marks(labels), "marks")
     place = choose_words(source, marks)
     model = docs.sparkSession.sparkContext.broadcast(train(features(source, place), marks, place, **options))
 

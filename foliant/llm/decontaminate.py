@@ -1,38 +1,58 @@
 """Operator 10: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 The benchmark is taken in blocks of bounded size (``block_words``), each of which is broadcast. Per block, a first
-pass over all documents counts how often each of the block's word n-grams occurs in the corpus. Each item
-then keeps as seeds the rarest of every ``window`` consecutive n-grams that the corpus has: all of them by default, so that
-whatever copies ``n`` words in a row has a seed, also where other documents hold the item unchanged. A second pass finds seeds in every whole text, joins
+pass over all documents counts how often each of the block's word n-grams, and (n-1)-grams, occurs in the corpus. Seeds are
+all n-grams of an item, so that whatever copies ``n`` words in a row has one, also where other documents hold the
+item unchanged, and those (n-1)-grams that are rare: a block's rare ones together meet a document ``fan`` times on average
+at most. A second pass finds seeds in every whole text, joins
 the passage around them to the item, and scores passage and item by local alignment of words (match 2, mismatch -1,
-gap -1). A passage counts when its score reaches ``threshold`` of that of the item itself. All of it is map-side:
+gap -1). A passage counts when its score reaches ``threshold`` of that of the item itself or, in long items, that of
+``copied`` words in a row. Items with fewer than ``n`` words count where all their words stand in a row. All of it is map-side:
 texts are never shuffled, and a passage that a third of all documents hold costs no task more than its own rows.
 
-Words are runs of letters and digits, lower-cased. Defined cases: null and empty texts hold no words and are clean;
-items with fewer than ``n`` words have no n-gram and are not searched; equal items each get their hits; an empty
-benchmark flags nothing; rows with equal ids are judged row by row; other columns are ignored by ``contaminated``
-and carried by ``clean_documents``.
+Words are runs of letters and digits (and marks and underscores), lower-cased, known by 64-bit hashes. Defined cases: null and empty texts hold no words and
+are clean; items without words are not searched; equal items each get their hits; an empty
+benchmark flags nothing; texts of any length are read whole, in pieces; rows with equal ids are judged row by row; other
+columns are ignored by ``contaminated`` and carried by ``clean_documents``.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .shingles import pieces, span_hashes, spans
 
-WORDS = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, 1
-ABSENT = np.iinfo(np.int64).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_WORD = np.zeros(256, bool)
+_WORD[[95, *range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Signs beyond ASCII that are no part of words.
+_SIGNS = r"[^\x00-\x7f\p{L}\p{N}\p{M}]"
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the words of all texts, in order."""
+    lower = pc.utf8_lower(texts.fill_null(""))
+    odd = pc.match_substring_regex(lower, _SIGNS)
+    if pc.any(odd).as_py():
+        lower = pc.if_else(odd, pc.replace_substring_regex(lower, _SIGNS, " "), lower)
+    owners, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for data, ends, numbers in pieces([t.encode() for t in lower.to_pylist()]):
+        inside = _WORD[data]
+        first, last = spans(inside)
+        owners.append(numbers[np.searchsorted(ends, first, "right")])
+        values.append(span_hashes(data, inside, first, last))
+    return np.concatenate(owners), np.concatenate(values)
 
 
 def _grams(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +68,19 @@ def _grams(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, key
 
 
+def _found(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The index of each value among ``keys`` (sorted), or -1."""
+    if not len(keys):
+        return np.full(len(values), -1, np.int64)
+    slot = lambda x: (x * _MIX) >> np.uint64(44)
+    used = np.zeros(1 << 20, bool)
+    used[slot(keys)] = True
+    out, at = np.full(len(values), -1, np.int64), np.flatnonzero(used[slot(values)])
+    k = np.minimum(np.searchsorted(keys, values[at]), len(keys) - 1)
+    out[at] = np.where(keys[k] == values[at], k, -1)
+    return out
+
+
 def smith_waterman(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best local score of each item row against its passage row, and the passage word after the alignment's end.
 
@@ -74,26 +107,36 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n, self.ids = n, [i for i, _ in items]
-        words = [WORDS.findall((t or "").lower()) for _, t in items]
-        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in words for w in ws), 1)}
-        self.words = [np.array([self.vocabulary[w] for w in ws], np.int32) for ws in words]
-        self.grams = [_grams(ws, n)[1] for ws in self.words]
-        self.keys = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
+        owner, value = words_of(pa.array([t for _, t in items], pa.string()))
+        self.vocabulary, place = np.unique(value, return_inverse=True)
+        cut = np.searchsorted(owner, np.arange(len(items) + 1))
+        self.words = [(place[a:b] + 1).astype(np.int32) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.grams = {k: [_grams(w, k)[1] if len(w) >= n else np.zeros(0, np.uint64) for w in self.words] for k in (n, n - 1)}
+        self.keys = np.unique(np.concatenate([*self.grams[n], *self.grams[n - 1], np.zeros(0, np.uint64)]))
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # size, hash, items
+        for item, w in enumerate(self.words):
+            if 0 < len(w) < n:
+                self.short[len(w)][int(_grams(w, len(w))[1][0])].append(item)
+        self.short = {size: dict(found) for size, found in self.short.items()}
         self.seed_keys = np.zeros(0, np.uint64)
 
-    def document(self, text: str) -> np.ndarray:
-        words = WORDS.findall(text.lower())
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
-
-    def set_seeds(self, counts: np.ndarray, window: int) -> None:
-        """From every ``window`` consecutive n-grams of an item the rarest of those that the corpus has."""
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids of all texts, 0 for a word that no item has and between texts; and where each text begins, with an end."""
+        owner, value = words_of(texts)
+        flat = np.zeros(len(owner) + len(texts), np.int32)
+        flat[np.arange(len(owner)) + owner] = _found(self.vocabulary, value) + 1
+        return flat, np.searchsorted(owner, np.arange(len(texts) + 1)) + np.arange(len(texts) + 1)
+
+    def set_seeds(self, counts: np.ndarray, n_docs: int, fan: float) -> None:
+        """All n-grams that the corpus has, and its rare (n-1)-grams."""
+        smaller = np.unique(np.concatenate([*self.grams[self.n - 1], np.zeros(0, np.uint64)]))
+        most = fan * n_docs / max(1, len(smaller))
         places = defaultdict(set)
-        for item, grams in enumerate(self.grams):
-            often = counts[np.searchsorted(self.keys, grams)]
-            often = np.where(often, often, ABSENT)
-            for a in range(max(1, len(grams) - window + 1) if len(grams) else 0):
-                k = a + int(np.argmin(often[a : a + window]))
-                if often[k] < ABSENT:
+        for size, own in self.grams.items():
+            for item, grams in enumerate(own):
+                often = counts[np.searchsorted(self.keys, grams)]
+                for k in np.flatnonzero((often > 0) & ((size == self.n) | (often <= most))).tolist():
                     places[int(grams[k])].add((item, k))
         self.seed_keys = np.array(sorted(places), np.uint64)
         lists = [sorted(places[int(k)]) for k in self.seed_keys]
@@ -101,40 +144,33 @@ class Block:
         flat = np.array([p for x in lists for p in x], np.int64).reshape(-1, 2)
         self.seed_item, self.seed_at = flat[:, 0], flat[:, 1]
 
-    def count(self, text: str) -> np.ndarray:
-        """Indexes of the n-grams found in a text, with repeats."""
-        _, key = _grams(self.document(text), self.n)
-        k = np.searchsorted(self.keys, key)
-        k[k == len(self.keys)] = 0
-        return k[self.keys[k] == key] if len(self.keys) else k[:0]
-
-    def passages(self, text: str) -> list[tuple[int, int, np.ndarray]]:
-        """(item, first word, words) of every passage around seeds that lie near one diagonal of the item."""
-        if not len(self.seed_keys):
-            return []
-        doc = self.document(text)
-        at, key = _grams(doc, self.n)
-        k = np.searchsorted(self.seed_keys, key)
-        k[k == len(self.seed_keys)] = 0
-        hit = self.seed_keys[k] == key
-        at, k = at[hit], k[hit]
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Indexes of the n-grams and (n-1)-grams found in texts, with repeats."""
+        flat, _ = self.documents(texts)
+        k = np.concatenate([_found(self.keys, _grams(flat, size)[1]) for size in (self.n, self.n - 1)])
+        return k[k >= 0]
+
+    def passages(self, flat: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text, item, first word, word after the last) of every passage around seeds that lie near one diagonal of the item."""
+        both = [_grams(flat, size) for size in (self.n, self.n - 1)]
+        at, k = np.concatenate([a for a, _ in both]), np.concatenate([_found(self.seed_keys, key) for _, key in both])
+        at, k = at[k >= 0], k[k >= 0]
         if not len(at):
             return []
         fan = self.first[k + 1] - self.first[k]
         which = np.repeat(self.first[k], fan) + np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
-        item, diagonal = self.seed_item[which], np.repeat(at, fan) - self.seed_at[which]
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        size = np.array([len(self.words[i]) for i in item.tolist()])
-        new = np.concatenate(([True], (np.diff(item) != 0) | (np.diff(diagonal) > size[1:] // 2)))
-        starts = np.flatnonzero(new)
-        stops = np.append(starts[1:], len(item))
-        out = []
-        for a, b in zip(starts.tolist(), stops.tolist()):
-            pad = int(size[a]) // 4 + 4
-            low, high = max(0, int(diagonal[a]) - pad), min(len(doc), int(diagonal[b - 1] + size[a]) + pad)
-            out.append((int(item[a]), low, doc[low:high]))
-        return out
+        item, at = self.seed_item[which], np.repeat(at, fan)
+        diagonal, text = at - self.seed_at[which], np.searchsorted(starts, at, "right") - 1
+        order = np.lexsort((diagonal, item, text))
+        item, diagonal, text = item[order], diagonal[order], text[order]
+        size = self.sizes[item]
+        new = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > size[1:] // 2)))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(item)) - 1
+        pad = size[first] // 4 + 4
+        low = np.maximum(starts[text[first]], diagonal[first] - pad)
+        high = np.minimum(starts[text[first] + 1] - 1, diagonal[last] + size[first] + pad)
+        return list(zip(text[first].tolist(), item[first].tolist(), low.tolist(), high.tolist()))
 
     def score(self, found: list[tuple[int, np.ndarray]], backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Smith-Waterman over many (item, words), in groups of like size."""
@@ -155,23 +191,29 @@ class Block:
             best[part], end[part] = smith_waterman(items, passages)
         return best, end
 
-    def hits(self, texts: list[str], threshold: float) -> list[tuple[int, int, float, int, int]]:
+    def hits(self, texts: pa.Array, threshold: float, copied: int) -> list[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, word after the last) of every passage that reaches the threshold."""
-        owner, item, low, words = [], [], [], []
-        for k, text in enumerate(texts):
-            for i, a, ws in self.passages(text):
-                owner.append(k)
-                item.append(i)
-                low.append(a)
-                words.append(ws)
-        best, end = self.score(list(zip(item, words)))
-        full = np.array([MATCH * len(self.words[i]) for i in item], np.int64)
-        good = np.flatnonzero(best >= threshold * full) if len(item) else []
-        _, back = self.score([(item[k], words[k][: end[k]]) for k in good], backwards=True)
-        return [(owner[k], item[k], float(best[k] / full[k]), low[k] + int(end[k] - b), low[k] + int(end[k])) for k, b in zip(good, back)]
-
-
-def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, n: int, window: int, block_words: int) -> Iterator:
+        flat, starts = self.documents(texts)
+        out = []
+        for size, wanted in self.short.items():
+            at, key = _grams(flat, size)
+            for a, items in ((a, wanted.get(h)) for a, h in zip(at.tolist(), key.tolist()) if h in wanted):
+                text = int(np.searchsorted(starts, a, "right")) - 1
+                out += [(text, item, 1.0, a - int(starts[text]), a - int(starts[text]) + size) for item in items if np.array_equal(self.words[item], flat[a : a + size])]
+        found = self.passages(flat, starts)
+        words = [(item, flat[low:high]) for _, item, low, high in found]
+        best, end = self.score(words)
+        full = MATCH * self.sizes[[item for _, item, _, _ in found]] if found else np.zeros(0, np.int64)
+        good = np.flatnonzero(best >= np.minimum(threshold * full, MATCH * copied))
+        _, back = self.score([(words[k][0], words[k][1][: end[k]]) for k in good], backwards=True)
+        for k, b in zip(good.tolist(), back.tolist()):
+            text, item, low, _ = found[k]
+            stop = low - int(starts[text]) + int(end[k])
+            out.append((text, item, float(best[k] / full[k]), stop - b, stop))
+        return sorted(out)
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, n: int, fan: float, block_words: int) -> Iterator:
     """Broadcasts of the benchmark's blocks, seeds chosen by the corpus' counts."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -180,37 +222,38 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     for b in range(n_blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).orderBy("item", "text").collect()  # bounded by block_words
         block = Block([(r.item, r.text) for r in own], n)
-        if not len(block.keys):
+        if not len(block.vocabulary):
             continue
-        raw = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch], raw=raw) -> Iterator[pa.RecordBatch]:
-            block = raw.value
-            n_found = np.zeros(len(block.keys), np.int64)
-            for batch in slices(batches, 0):
-                found = [block.count(t) for t in batch.column(0).to_pylist() if t]
-                n_found += np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64), minlength=len(n_found))
-            k = np.flatnonzero(n_found)
-            yield pa.record_batch([pa.array(k, pa.int64()), pa.array(n_found[k], pa.int64())], names=["gram", "n"])
-
-        counts = np.zeros(len(block.keys), np.int64)
-        for row in docs.select(F.col(text_col).cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row per n-gram of the block
-            counts[row.gram] = row.n
-        block.set_seeds(counts, window)
+        if len(block.keys):
+            raw = spark.sparkContext.broadcast(block)
+
+            def count(batches: Iterator[pa.RecordBatch], raw=raw) -> Iterator[pa.RecordBatch]:
+                block, n_docs = raw.value, 0
+                n_found = np.zeros(len(block.keys) + 1, np.int64)  # the last one counts documents
+                for batch in slices(batches, 0):
+                    n_found += np.bincount(block.count(batch.column(0)), minlength=len(n_found))
+                    n_found[-1] += batch.num_rows
+                k = np.flatnonzero(n_found)
+                yield pa.record_batch([pa.array(k, pa.int64()), pa.array(n_found[k], pa.int64())], names=["gram", "n"])
+
+            counted = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row per n-gram of the block
+            counts = np.zeros(len(block.keys) + 1, np.int64)
+            counts[counted["gram"].to_numpy()] = counted["n"].to_numpy()
+            block.set_seeds(counts[:-1], int(counts[-1]), fan)
         yield spark.sparkContext.broadcast(block)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 3, window: int = 1, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", n: int = 3, fan: float = 0.5, threshold: float = 0.5, copied: int = 50, block_words: int = 1_000_000) -> DataFrame:
     """Every passage of a document that copies a benchmark item: id, item_id, score in (0, 1], word span."""
     source = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     schema = f"`{id_col}` {source.schema[0].dataType.simpleString()}, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for raw in _blocks(docs, benchmark, text_col, item_col, n, window, block_words):
+    for raw in _blocks(docs, benchmark, text_col, item_col, n, fan, block_words):
 
         def find(batches: Iterator[pa.RecordBatch], raw=raw) -> Iterator[pa.RecordBatch]:
             block = raw.value
             for batch in slices(batches):
-                hits = block.hits([t or "" for t in batch.column(1).to_pylist()], threshold)
+                hits = block.hits(batch.column(1), threshold, copied)
                 owner, item, score, first, end = zip(*hits) if hits else ((),) * 5
                 yield pa.record_batch([batch.column(0).take(pa.array(owner, pa.int64())), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=[id_col, "item_id", "score", "first_word", "end_word"])
 
@@ -218,16 +261,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", n: int = 3, window: int = 1, threshold: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs`` without contaminated ones, filtered where they lie."""
-    out, place = docs, docs.columns.index(text_col)
-    for raw in _blocks(docs, benchmark, text_col, item_col, n, window, block_words):
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", n: int = 3, fan: float = 0.5, threshold: float = 0.5, copied: int = 50, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` without contaminated ones, filtered where they lie: only texts go through Python."""
+
+    def without(raw: Broadcast) -> Column:
+        def clean(text: pa.Array) -> pa.Array:
+            flags = []
+            for batch in slices(iter([pa.record_batch([text], names=["text"])]), 0):
+                own = np.ones(batch.num_rows, bool)
+                own[[h[0] for h in raw.value.hits(batch.column(0), threshold, copied)]] = False
+                flags.append(own)
+            return pa.array(np.concatenate([*flags, np.zeros(0, bool)]))
 
-        def keep(batches: Iterator[pa.RecordBatch], raw=raw) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, place):
-                texts = [str(t) if t is not None else "" for t in batch.column(place).to_pylist()]
-                dirty = {h[0] for h in raw.value.hits(texts, threshold)}
-                yield batch.filter(pa.array([k not in dirty for k in range(len(texts))])) if dirty else batch
+        return F.arrow_udf(clean, "boolean")(F.col(text_col).cast("string"))
 
-        out = out.mapInArrow(keep, docs.schema)
+    out = docs
+    for raw in _blocks(docs, benchmark, text_col, item_col, n, fan, block_words):
+        out = out.where(without(raw))
     return out

@@ -1,24 +1,31 @@
 """Operator 9: Merkle trees over paragraphs and sections, and fingerprints that can be compared.
 
 Leaves are phrases: content-defined runs of bytes (a border follows where the hash of the last bytes says so, and at
-each line's end), so an edit changes the leaves around it and no others. Lines are the paragraphs; a paragraph's node is a
-digest of its text. Sections end at empty lines and after paragraphs whose digest says so; a section's node is a digest
-of its paragraphs' nodes, and the root a digest of the sections'. Equal roots mean equal texts; ``differences``
-descends into sections and paragraphs that differ.
-
-A fingerprint is the root and the ``SKETCH`` smallest leaf hashes. ``likeness`` is 1 for equal roots, else the share of
-leaves that two texts have in common (twice the common ones over the sum), estimated from the smallest leaves of both.
-
-Defined cases: a null text is empty; an empty text has one empty paragraph and no leaves, so its likeness to any other
-text is 0; equal ids are ordered by text, null ids come last; a table's only document is its own next one; columns
+each line's end), so an edit changes the leaves around it and no others. A paragraph is a line or, behind the first
+``LINE_PHRASES`` leaves of a longer one, a part that ends where a leaf's hash says so; a section ends at an empty line or where a
+paragraph's hash says so; groups of sections, of these groups and so on end in the same way. Every node is a hash of the
+nodes under it, in order, and the root a 128-bit digest of the sections and the text. So equal roots mean equal texts, and where
+two trees differ, ``differences`` descends from sections into paragraphs and returns every range that differs.
+
+A fingerprint is the root and, for all levels that have ``NODES`` nodes or fewer, the 32-bit hashes of the level's nodes in
+order. ``likeness`` is 1 for equal roots; else it takes the finest level that both fingerprints have, and is the share of
+nodes there that two texts have in common (twice the common ones over the sum): the same as descending
+from the roots into the branches that differ.
+
+Defined cases: a null text is empty; an empty text is one empty phrase; texts of any length are read whole, in pieces; equal ids
+are ordered by text, null ids come last; a table's only document is its own next one; columns
 besides the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,118 +34,180 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .shingles import _FACTORS, mix, pieces, span_hashes
 
-SKETCH = 128
+NODES, LEVELS, LINE_PHRASES = 512, 8, 64
+PHRASES, PARAGRAPHS, SECTIONS = 0, 1, 2
+MOST_SHARDS = 1 << 15
 _BORDER_WINDOW, _BORDER_MASK = 6, np.uint32(15)
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to n."""
-    have = next((k for k in _powers if k >= n), 0)
-    if not have:
-        _powers.clear()
-        have = max(1 << 16, 1 << (n - 1).bit_length())
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(have + 1, base, np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _powers[have] = (tables[0], tables[1])
-    return _powers[have]
-
-
-def leaves(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct 24-bit hashes of each text's phrases, the ``SKETCH`` smallest."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-    if not len(data):
-        return [np.zeros(0, np.uint32)] * len(texts)
-    h = np.zeros(len(data), np.uint32)
-    for k in range(_BORDER_WINDOW):
-        h[_BORDER_WINDOW - 1 :] = h[_BORDER_WINDOW - 1 :] * np.uint32(0x01000193) + data[k : len(data) - _BORDER_WINDOW + 1 + k]
-    border = ((h * np.uint32(0x9E3779B1)) >> np.uint32(20) & _BORDER_MASK) == 0
-    starts = np.concatenate(([0], ends[:-1]))
-    for k in range(_BORDER_WINDOW - 1):  # windows that begin before the text don't count
-        inside = starts[starts + k < ends] + k
-        border[inside] = False
-    border |= data == 10
-    border[ends[ends > 0] - 1] = True
-    cut = np.flatnonzero(border) + 1
-    first = np.concatenate(([0], cut[:-1]))
-    power, inverse = _power_tables(len(data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-    value = (total[cut] - total[first]) * inverse[first]
-    value ^= value >> np.uint64(31)
-    value = ((value * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.uint32)
-    upto = np.searchsorted(cut, ends, "right")
-    return [np.unique(value[a:b])[:SKETCH] for a, b in zip(np.concatenate(([0], upto[:-1])).tolist(), upto.tolist())]
-
-
-def tree(text: bytes) -> tuple[bytes, list[tuple[bytes, list[bytes]]]]:
-    """Root, and each section's node with its paragraphs' nodes."""
-    sections: list[tuple[bytes, list[bytes]]] = []
-    own: list[bytes] = []
-    for line in text.split(b"\n"):
-        own.append(xxhash.xxh3_128_digest(line))
-        if not line.strip() or own[-1][0] % 8 == 0:
-            sections.append((xxhash.xxh3_128_digest(b"".join(own)), own))
-            own = []
-    if own:
-        sections.append((xxhash.xxh3_128_digest(b"".join(own)), own))
-    return xxhash.xxh3_128_digest(b"".join(s for s, _ in sections)), sections
-
-
-def differences(a: bytes, b: bytes) -> list[tuple[int, int, int, int]]:
-    """Paragraph ranges (from, to in a; from, to in b) that differ, found by descending where nodes differ."""
-    (root_a, in_a), (root_b, in_b) = tree(a), tree(b)
-    if root_a == root_b:
+
+
+@dataclass
+class Tree:
+    """Root and, per level from the phrases up, the hashes of a text's nodes in order."""
+
+    root: str
+    levels: list[np.ndarray]
+
+
+def _phrases(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all phrases in order: owner, hash, whether it ends a line, whether it is an empty line."""
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for data, ends, numbers in pieces(texts):
+        h = np.zeros(len(data), np.uint32)
+        if len(data) >= _BORDER_WINDOW:
+            for k in range(_BORDER_WINDOW):
+                h[_BORDER_WINDOW - 1 :] = h[_BORDER_WINDOW - 1 :] * np.uint32(0x01000193) + data[k : len(data) - _BORDER_WINDOW + 1 + k]
+        border = ((h * np.uint32(0x9E3779B1)) >> np.uint32(20) & _BORDER_MASK) == 0
+        starts = np.concatenate(([0], np.flatnonzero(data[:-1] == 10) + 1))
+        for k in range(_BORDER_WINDOW - 1):  # windows that begin before the line don't count
+            border[starts[starts + k < len(data)] + k] = False
+        border |= data == 10
+        last = np.flatnonzero(border) + 1
+        first = np.concatenate(([0], last[:-1]))
+        line = data[last - 1] == 10
+        found = (numbers[np.searchsorted(ends, first, "right")], span_hashes(data, np.ones(len(data), bool), first, last), line, line & (last - first == 1))
+        for xs, x in zip(out, found):
+            xs.append(x)
+    return tuple(np.concatenate(x) for x in out)  # type: ignore[return-value]
+
+
+def _parents(owner: np.ndarray, nodes: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, first child) of the nodes over ``nodes``: one ends at each border and with each text."""
+    border = border | np.append(owner[1:] != owner[:-1], True)
+    last = np.flatnonzero(border) + 1
+    first = np.concatenate(([0], last[:-1]))
+    size = last - first
+    place = (np.arange(len(nodes)) - np.repeat(first, size)) & (len(_FACTORS) - 1)
+    return owner[first], mix(np.add.reduceat(mix(nodes) * _FACTORS[place], first) + size.astype(np.uint64)), first
+
+
+def trees(texts: list[bytes]) -> list[Tree]:
+    """The trees of many texts at once."""
+    if not texts:
         return []
-    first, i, j = 0, 0, 0
-    while first < min(len(in_a), len(in_b)) and in_a[first][0] == in_b[first][0]:
-        i, first = i + len(in_a[first][1]), first + 1
-    last_a, last_b = len(in_a), len(in_b)
-    while min(last_a, last_b) > first and in_a[last_a - 1][0] == in_b[last_b - 1][0]:
-        last_a, last_b = last_a - 1, last_b - 1
-    left = [p for _, ps in in_a[first:last_a] for p in ps]
-    right = [p for _, ps in in_b[first:last_b] for p in ps]
-    while j < min(len(left), len(right)) and left[j] == right[j]:
-        j += 1
-    m, n = len(left), len(right)
-    while min(m, n) > j and left[m - 1] == right[n - 1]:
-        m, n = m - 1, n - 1
-    return [(i + j, i + m, i + j, i + n)]
+    owner, nodes, line, empty = _phrases(texts)
+    levels = [(owner, nodes)]
+    begins = np.concatenate(([True], line[:-1] | (owner[1:] != owner[:-1])))
+    in_line = np.arange(len(nodes)) - np.maximum.accumulate(np.where(begins, np.arange(len(nodes)), 0))
+    owner, nodes, first = _parents(owner, nodes, line | ((in_line >= LINE_PHRASES) & (nodes & np.uint64(31) == 0)))
+    single = np.diff(np.append(first, len(empty))) == 1
+    levels.append((owner, nodes))
+    border = (empty[first] & single) | (nodes & np.uint64(7) == 0)
+    while len(levels) < LEVELS:
+        owner, nodes, _ = _parents(owner, nodes, border)
+        levels.append((owner, nodes))
+        border = nodes & np.uint64(7) == 0
+    cut = [np.searchsorted(o, np.arange(len(texts) + 1)) for o, _ in levels]
+    out = []
+    for k, text in enumerate(texts):
+        own = [x[c[k] : c[k + 1]] for (_, x), c in zip(levels, cut)]
+        digest = xxhash.xxh3_128(own[SECTIONS].tobytes())
+        digest.update(text)
+        out.append(Tree(digest.hexdigest(), own))
+    return out
+
+
+def _gaps(x: list[int], y: list[int]) -> list[tuple[int, int, int, int]]:
+    """Ranges (from, to in x; from, to in y) outside an alignment of two sequences of nodes.
+
+    Nodes that both have once are matched where they stand in one order, and what is equal next to these, or at the ends, too.
+    """
+    once_x, once_y = ({v: k for k, v in enumerate(s) if c[v] == 1} for s, c in ((x, Counter(x)), (y, Counter(y))))
+    both = [(k, once_y[v]) for v, k in once_x.items() if v in once_y]
+    tails: list[int] = []
+    link, top = [-1] * len(both), []
+    for n, (_, j) in enumerate(both):  # longest run of matches that ascends in both
+        at = bisect_left(tails, j)
+        if at == len(tails):
+            tails.append(j)
+            top.append(n)
+        else:
+            tails[at], top[at] = j, n
+        link[n] = top[at - 1] if at else -1
+    chain, n = [], top[-1] if top else -1
+    while n >= 0:
+        chain.append(both[n])
+        n = link[n]
+    out, i, j = [], 0, 0
+    for a, b in [*reversed(chain), (len(x), len(y))]:
+        while i < a and j < b and x[i] == y[j]:
+            i, j = i + 1, j + 1
+        m, n = a, b
+        while m > i and n > j and x[m - 1] == y[n - 1]:
+            m, n = m - 1, n - 1
+        if m > i or n > j:
+            out.append((i, m, j, n))
+        i, j = min(a + 1, len(x)), min(b + 1, len(y))
+    return out
+
+
+def differences(a: bytes | Tree, b: bytes | Tree) -> list[tuple[int, int, int, int]]:
+    """Paragraph ranges (from, to in a; from, to in b) that differ, found by descending into the sections that differ."""
+    x, y = ((trees([t])[0] if isinstance(t, bytes) else t) for t in (a, b))
+    if x.root == y.root:
+        return []
+    paragraphs, starts = [], []
+    for tree in (x, y):
+        own = tree.levels[PARAGRAPHS]
+        paragraphs.append(own.tolist())
+        starts.append(np.append(_section_starts(tree), len(own)).tolist())
+    out = []
+    for s, t, u, v in _gaps(x.levels[SECTIONS].tolist(), y.levels[SECTIONS].tolist()):
+        i, j = starts[0][s], starts[1][u]
+        out += [(i + m, i + n, j + p, j + q) for m, n, p, q in _gaps(paragraphs[0][i : starts[0][t]], paragraphs[1][j : starts[1][v]])]
+    return out
+
+
+def _section_starts(tree: Tree) -> np.ndarray:
+    """The first paragraph of each section: a section's node is the hash of a run of paragraphs, which is found again here."""
+    own = tree.levels[PARAGRAPHS]
+    ended = (own & np.uint64(7) == 0) | (own == _EMPTY_LINE)
+    return np.concatenate(([0], np.flatnonzero(ended[:-1]) + 1))
+
 
+_EMPTY_LINE = _parents(np.zeros(1, np.int64), span_hashes(np.array([10], np.uint8), np.ones(1, bool), np.array([0]), np.array([1])), np.zeros(1, bool))[1][0]
 
-def fingerprints(texts: list[bytes]) -> list[tuple[str, np.ndarray]]:
-    """Root in hexadecimal and leaf sketch of each text."""
-    return [(tree(t)[0].hex(), own) for t, own in zip(texts, leaves(texts))]
 
+@dataclass
+class Fingerprint:
+    """Root and, from level ``finest`` on, the 32-bit hashes of each level's nodes in order."""
 
-def as_string(fingerprint: tuple[str, np.ndarray]) -> str:
-    root, own = fingerprint
-    return root + ":" + np.ascontiguousarray(own.astype(">u4")).view(np.uint8).reshape(-1, 4)[:, 1:].tobytes().hex()
+    root: str
+    finest: int
+    levels: list[np.ndarray]
 
 
-def from_string(text: str) -> tuple[str, np.ndarray]:
-    root, _, own = text.partition(":")
-    raw = np.frombuffer(bytes.fromhex(own), np.uint8).reshape(-1, 3).astype(np.uint32)
-    return root, raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]
+def fingerprint(tree: Tree) -> Fingerprint:
+    finest = next((k for k, x in enumerate(tree.levels) if len(x) <= NODES), LEVELS)
+    return Fingerprint(tree.root, finest, [(x >> np.uint64(32)).astype(np.uint32) for x in tree.levels[finest:]])
 
 
-def likeness(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray]) -> float:
-    """Likeness of two fingerprints, 0 to 1."""
-    if a[0] == b[0]:
+def fingerprints(texts: list[bytes]) -> list[Fingerprint]:
+    return [fingerprint(t) for t in trees(texts)]
+
+
+def as_string(mark: Fingerprint) -> str:
+    """Root in hexadecimal, and the levels in base 64."""
+    return ":".join((mark.root, str(mark.finest), *(base64.b64encode(x.astype("<u4").tobytes()).decode() for x in mark.levels)))
+
+
+def from_string(text: str) -> Fingerprint:
+    root, finest, *levels = text.split(":")
+    return Fingerprint(root, int(finest), [np.frombuffer(base64.b64decode(x), "<u4") for x in levels])
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """Likeness of two fingerprints, 0 to 1; below 1 for different texts."""
+    if a.root == b.root:
         return 1.0
-    x, y = a[1], b[1]
+    level = max(a.finest, b.finest)
+    if level >= LEVELS:
+        return 0.0
+    x, y = np.unique(a.levels[level - a.finest]), np.unique(b.levels[level - b.finest])
     both = np.concatenate((x, y))
     both.sort()
-    same = both[1:][both[1:] == both[:-1]]
-    limit = min([int(z[-1]) for z in (x, y) if len(z) == SKETCH], default=None)
-    if limit is not None:  # above it one of the sketches knows nothing
-        x, y, same = x[x <= limit], y[y <= limit], same[same <= limit]
-    return 2 * len(same) / (len(x) + len(y)) if len(x) + len(y) else 0.0
+    return min(2 * int((both[1:] == both[:-1]).sum()) / len(both), 1 - 1e-9)
 
 
 def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,34 +224,40 @@ def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, shard_rows: int = 16_384) -> DataFrame:
-    """(shard, extra, id, text): descending shards of the ids, each followed by the first rows of the next one.
+    """(shard, extra, id, text): shards of the documents by descending ids, each followed by the first row of the next one.
 
-    Bounds are the largest ids of range partitions, one per shard. The last shard is followed by the first; a lone
-    shard has no extra rows.
+    Shards are the ranges that Spark finds for ids and, in one id, the texts' beginnings, so an id that many rows share is split too;
+    there are ``MOST_SHARDS`` at most, whose bounds are the only rows that meet the driver. The last shard is followed
+    by the first; a lone shard has no extra rows.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ids = source.select("id").where("id is not null")
-    n = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(ids.count() / shard_rows))
-    ranges = ids.repartitionByRange(n, F.col("id").desc()).groupBy(F.spark_partition_id().alias("part")).agg(F.max("id").alias("most"))
-    bounds = sorted((r.most for r in ranges.collect()), reverse=True)  # one per shard
+    key = F.struct(F.col("id").isNull().alias("a"), F.coalesce(F.bitwise_not("id"), F.lit(0)).alias("b"), F.coalesce(F.substring("text", 1, 32), F.lit("")).alias("c"))
+    keyed = source.withColumn("key", key)
+    n = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, math.ceil(source.count() / shard_rows)))
+    ranges = keyed.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("least"))
+    bounds = sorted((r.least.a, r.least.b, r.least.c) for r in ranges.collect())  # one per shard
     if len(bounds) < 2:
         return source.select(F.lit(0).alias("shard"), F.lit(False).alias("extra"), "id", "text")
+    literal = lambda x: F.struct(F.lit(x[0]).alias("a"), F.lit(x[1]).cast("long").alias("b"), F.lit(x[2]).alias("c"))
     step = math.isqrt(len(bounds)) + 1
-    fine = F.array(*[F.array(*map(F.lit, bounds[a : a + step])) for a in range(0, len(bounds), step)])
-    above = lambda xs: F.size(F.filter(xs, lambda b: b >= F.col("id")))
-    coarse = above(F.array(*map(F.lit, bounds[::step])))  # 1 or more
-    place = F.when(F.col("id").isNull(), len(bounds) - 1).otherwise((coarse - 1) * step + above(F.element_at(fine, coarse)) - 1)
-    placed = source.withColumn("shard", place)
-    is_first = F.array_contains(F.element_at(fine, (F.col("shard") / step).cast("int") + 1), F.col("id"))
-    copies = F.when(is_first, F.array(F.struct("shard", F.lit(False).alias("extra")), F.struct(F.pmod(F.col("shard") - 1, F.lit(len(bounds))).alias("shard"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct("shard", F.lit(False).alias("extra"))))
+    fine = F.array(*[F.array(*map(literal, bounds[a : a + step])) for a in range(0, len(bounds), step)])
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("key")))
+    coarse = F.greatest(F.lit(1), upto(F.array(*map(literal, bounds[::step]))))
+    placed = keyed.withColumn("coarse", coarse).withColumn("shard", F.greatest(F.lit(0), (F.col("coarse") - 1) * step + upto(F.element_at(fine, F.col("coarse"))) - 1))
+    is_first = F.col("key") == F.element_at(F.element_at(fine, F.col("coarse")), F.col("shard") - (F.col("coarse") - 1) * step + 1)
+    own = F.struct("shard", F.lit(False).alias("extra"))
+    copies = F.when(is_first, F.array(own, F.struct(F.pmod(F.col("shard") - 1, F.lit(len(bounds))).alias("shard"), F.lit(True).alias("extra")))).otherwise(F.array(own))
     return placed.select(F.explode(copies).alias("at"), "id", "text").select("at.shard", "at.extra", "id", "text")
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of it with its last third replaced by the next document's beginning."""
+    """Fingerprints of every text and of it with its last third replaced by the next document's beginning.
+
+    ``changes`` lists the paragraphs in which the two differ, as ``from-to:from-to`` in the text and the edited one.
+    """
     rows = with_next(docs, id_col, text_col)
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "extra", F.col("id").desc_nulls_last(), "text")
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "extra", F.col("id").desc_nulls_last(), F.coalesce("text", F.lit("")))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
         """(id, text, next text)"""
@@ -207,18 +282,21 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def out() -> pa.RecordBatch:
             edited = [t[: len(t) - len(t) // 3] + after[: len(t) // 3] for _, t, after in held]
             raw = [x.encode() for x in edited]
-            marks = fingerprints([t.encode() for _, t, _ in held])
+            own = trees([t.encode() for _, t, _ in held])
+            marks = [fingerprint(t) for t in own]
             nexts = [marks[k + 1] if k + 1 < len(held) and held[k + 1][1] is held[k][2] else None for k in range(len(held))]
             rest = fingerprints([held[k][2].encode() for k, x in enumerate(nexts) if x is None])
             nexts = [rest.pop(0) if x is None else x for x in nexts]
-            changed = fingerprints(raw)
+            others = trees(raw)
+            changed = [fingerprint(t) for t in others]
+            ranges = [";".join(f"{a}-{b}:{c}-{d}" for a, b, c, d in differences(x, y)) for x, y in zip(own, others)]
             return pa.record_batch([
                 pa.array([i for i, _, _ in held], pa.int64()), pa.array([len(t) for _, t, _ in held], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
                 pa.array(map(as_string, marks), pa.string()), pa.array(map(as_string, changed), pa.string()),
-                pa.array(map(likeness, marks, changed), pa.float64()), pa.array(map(likeness, marks, nexts), pa.float64()),
+                pa.array(map(likeness, marks, changed), pa.float64()), pa.array(map(likeness, marks, nexts), pa.float64()), pa.array(ranges, pa.string()),
             ], names=names)
 
-        names, size = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], 0
+        names, size = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "changes"], 0
         for pair in pairs(small):
             held.append(pair)
             size += len(pair[1])
@@ -228,4 +306,4 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if held:
             yield out()
 
-    return rows.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return rows.mapInArrow(run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, changes string")

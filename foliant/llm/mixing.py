@@ -4,7 +4,7 @@ Sizes are words. Each source has a target: its weight's part of ``share`` times
 times its own words, what is above going to the others by weight until none is above. That level has a closed
 form: with sources ordered by cap over weight, the first for which the rest's even share is within its cap sets it.
 
-A source's documents stand in a fixed pseudo-random order (a hash of the id). Its words are taken from the start
+A source's documents stand in a fixed pseudo-random order (the MD5 digest of the id). Its words are taken from the start
 of that order, again from the start when all are taken, until the target is met to the word; so the last document
 may give a part of its words.
 
@@ -12,8 +12,8 @@ Each source's weight changes linearly over training: ``ramp`` at the start, 2 -
 Integrated up to time t it gives ramp*t + (1 - ramp)*t*t of the target; a document whose first word stands at
 share u of its source's demand gets the t at which that integral is u as its training position.
 
-Prefix sums run in hash buckets of some hundred rows, and bucket sums are added over the buckets of a source, so a
-source with a third of all rows is spread over all tasks.
+Prefix sums run in hash buckets of some hundred rows, bucket sums in stretches of a thousand buckets, and stretch sums over
+a source, so a source with a third of all rows is spread over all tasks.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null source is a source, last in order; rows
 with equal ids are ordered by text hash, and rows equal in both share one decision in ``mixed_documents``; an
@@ -64,11 +64,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = docs.select(F.col(id_col), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"))
     sized = stored(sized, "mix-sizes")
     buckets = max(1, sized.count() // bucket_rows)
-    spread = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(17)), 33)  # 31 bits
-    placed = sized.withColumn("h", spread).withColumn("bucket", F.shiftright(F.col("h") * F.lit(buckets).cast("long"), 31))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("bucket_start", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)))
+    spread = F.conv(F.substring(F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("0")), 1, 8), 16, 10).cast("long")  # 32 bits
+    placed = sized.withColumn("h", spread).withColumn("bucket", F.shiftright(F.col("h") * F.lit(min(buckets, 1 << 30)).cast("long"), 32))
+    sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).withColumn("stretch", F.shiftright("bucket", 10))
+    before = lambda over, order: Window.partitionBy(*over).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sums.groupBy("source", "stretch").agg(F.sum("bucket_size").alias("stretch_size"))
+    stretches = stretches.select(F.col("source").alias("its_source"), F.col("stretch").alias("its_stretch"), F.coalesce(F.sum("stretch_size").over(before(["source"], "stretch")), F.lit(0)).alias("stretch_start"))
+    inner = F.coalesce(F.sum("bucket_size").over(before(["source", "stretch"], "bucket")), F.lit(0))
+    starts = sums.withColumn("inner", inner).join(stretches, F.col("source").eqNullSafe(F.col("its_source")) & (F.col("stretch") == F.col("its_stretch"))).select("source", "bucket", (F.col("stretch_start") + F.col("inner")).alias("bucket_start"))
     targets = source_targets(sized, weights, share, max_repeats)
     of_bucket = starts.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(F.col("b.source").alias("of_source"), F.col("bucket").alias("of_bucket"), "bucket_start", "source_size", "rank", "target")
     inside = Window.partitionBy("source", "bucket").orderBy("h", id_col, "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
