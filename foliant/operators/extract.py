@@ -50,7 +50,8 @@ def message_error(message: Column) -> Column:
 
 def records(pages: DataFrame) -> DataFrame:
     """(number, html) to case records: a bad number, a sealed case, a page's error or an empty page is a row with ``error``."""
-    found = pages.select("number", "html", page_fields(F.col("html")).alias("f"))
+    readable = F.when(is_case_number(F.col("number")), F.col("html"))  # pages of bad numbers aren't read
+    found = pages.select("number", "html", page_fields(readable).alias("f"))
     valid, sealed = is_case_number(F.col("number")), F.contains(F.lower("f.status"), F.lit(SEALED_TEXT.lower()))
     empty = F.coalesce("f.class_type", "f.subject", "f.plaintiff", "f.defendant").isNull()
     problem = F.struct(F.col("e.error_type"), F.col("e.error"))

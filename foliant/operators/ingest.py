@@ -27,7 +27,7 @@ def segment(documents: DataFrame) -> DataFrame:
 def paragraphs(documents: DataFrame) -> DataFrame:
     """(file_path, text) to corpus rows; files without a date in their names give none."""
     dated = segment(documents).withColumn("document_date", file_date(F.col("file_path"))).where("document_date is not null")
-    return dated.select(F.abs(F.xxhash64("file_path", "position")).alias("id"), "process_number", "content", "file_path", "document_date", shard_of(F.col("document_date")).alias("db_id"))
+    return dated.select(F.xxhash64("file_path", "position").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"), "process_number", "content", "file_path", "document_date", shard_of(F.col("document_date")).alias("db_id"))
 
 
 def unprocessed(files: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .extract import error_histogram, in_input_order, outcome, records, remaining
+from ..schema import CASE_RECORDS
+from .extract import error_histogram, in_input_order, message_error, outcome, records, remaining
 
 Fetch = Callable[[DataFrame], DataFrame]
 
@@ -26,6 +27,11 @@ def percent(done: int, total: int) -> int:
     return round(done / total * 100) if total else 0
 
 
+def percent_done(done: Column, total: Column) -> Column:
+    """The same for columns, halves rounded up."""
+    return F.when(total > 0, F.round(done / total * 100)).otherwise(0).cast("int")
+
+
 def last_results(results: DataFrame, n: int = 50) -> DataFrame:
     """The n rows with the highest ordinals."""
     return results.orderBy(F.desc("ordinal")).limit(n)
@@ -77,7 +83,11 @@ class JobRegistry:
             for at in range(0, len(distinct), self.batch_size):
                 began, part = time.monotonic(), distinct[at : at + self.batch_size]
                 frame = self.spark.createDataFrame([(n,) for n in part], "number string").repartition(max_concurrent)
-                records(self.fetch(frame)).write.mode("append").parquet(job.path)
+                pages = self.fetch(frame)  # a plug-in that can't even be called ends the job
+                try:
+                    records(pages).write.mode("append").parquet(job.path)
+                except Exception:
+                    self._one_by_one(job, part)
                 with self.lock:
                     job.done = sum(n in set(distinct[: at + len(part)]) for n in numbers)
                     job.seconds.append(time.monotonic() - began)
@@ -85,6 +95,19 @@ class JobRegistry:
         except Exception as e:
             job.status, job.error = "error", str(e)[:500]
 
+    def _one_by_one(self, job: Job, part: list[str]) -> None:
+        """A batch that failed: each number by itself, and a record of what went wrong for those that fail again."""
+        for number in part:
+            alone = self.spark.createDataFrame([(number,)], "number string")
+            try:
+                found = records(self.fetch(alone)).toArrow()
+            except Exception as e:
+                told = str(e)
+                kind = message_error(F.lit(told))
+                empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in CASE_RECORDS.fields[1:-2]]
+                found = alone.select("number", *empty, F.lit(f"Worker error: {told[:500]}").alias("error"), kind.alias("error_type")).toArrow()
+            self.spark.createDataFrame(found.to_pandas().astype(object).where(lambda x: x.notna(), None).values.tolist(), CASE_RECORDS).coalesce(1).write.mode("append").parquet(job.path)
+
     def status(self, job_id: str) -> dict:
         with self.lock:
             return self.jobs[job_id].snapshot()
@@ -137,6 +160,18 @@ def report(facts: dict) -> str:
     return "\n".join([*lines, f"Seconds per case: {facts['seconds_per_case']}", f"Cases per minute: {facts['cases_per_minute']}"])
 
 
-def numbered(numbers: DataFrame, order: str) -> DataFrame:
-    """(ordinal, number): small lists counted in the order of a column."""
-    return numbers.select((F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("ordinal"), "number")
+def numbered(rows: DataFrame, value: Column, key: Column, descending: bool = False, parts: int = 64) -> DataFrame:
+    """All rows with ``ordinal``: from 0 by a number (nulls last), ties by another one.
+
+    Rows are counted in ranges, which quantiles of the number bound, and those without a number in ranges of the key;
+    sums over the ranges replace one window over all rows.
+    """
+    cuts = [k / parts for k in range(1, parts)]
+    marked = rows.withColumn("_value", value.cast("double") * (-1 if descending else 1)).withColumn("_key", key.cast("double"))
+    bounds = marked.agg(F.percentile_approx("_value", cuts).alias("a"), F.percentile_approx(F.when(F.col("_value").isNull(), F.col("_key")), cuts).alias("b")).first()
+    above = lambda c, xs: F.size(F.filter(F.array(*map(F.lit, sorted(set(xs)))), lambda b: b < F.col(c))) if xs else F.lit(0)
+    placed = marked.withColumn("_range", F.when(F.col("_value").isNotNull(), above("_value", bounds.a)).otherwise(parts + above("_key", bounds.b)))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("_range"), F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 2 * parts rows
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("_value").asc_nulls_last(), "_key")) - 1
+    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("ordinal", F.col("_before") + F.col("_inside")).select(*rows.columns, "ordinal")

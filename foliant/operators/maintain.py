@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..plans.keywords import compile_filter, parse, required_terms, sanitize
+from ..storage import small
 from .corpus import write
 
 
@@ -31,13 +34,15 @@ def keep_first(paragraphs: DataFrame) -> DataFrame:
     return keyed.join(first, ["db_id", "digest", "id"], "left_semi").drop("digest").select(paragraphs.columns)
 
 
-def renumbered(paragraphs: DataFrame, blocks: int = 64) -> DataFrame:
+def renumbered(paragraphs: DataFrame, block_rows: int = 50_000) -> DataFrame:
     """Ids from 0 in each shard in the order of the old ids, counted in blocks of the id range.
 
-    Sums over blocks replace one window over a whole shard.
+    Sums over blocks, about one for each ``block_rows`` rows, replace one window over a whole shard. Blocks are found by floating-point shares of
+    the range, which keep the order of ids and have room for any of them.
     """
-    span = paragraphs.groupBy("db_id").agg(F.min("id").alias("low"), (F.max("id") - F.min("id") + 1).alias("width"))
-    placed = paragraphs.join(F.broadcast(span), "db_id").withColumn("block", ((F.col("id") - F.col("low")) * blocks / F.col("width")).cast("int"))
+    span = paragraphs.groupBy("db_id").agg(F.min("id").cast("double").alias("low"), F.max("id").cast("double").alias("high"), F.ceil(F.count("*") / block_rows).alias("blocks"))
+    share = (F.col("id").cast("double") - F.col("low")) / F.greatest(F.lit(1.0), F.col("high") - F.col("low"))
+    placed = paragraphs.join(small(span, 64), "db_id").withColumn("block", F.floor(share * F.col("blocks")))
     counts = placed.groupBy("db_id", "block").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("db_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("db_id", "block").orderBy("id")) - 1
@@ -57,10 +62,17 @@ def write_postings(paragraphs: DataFrame, path: str) -> None:
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
-    """In how many rows each token stands."""
+    """In how many rows each token of an index stands."""
     return index.groupBy("db_id", "token", "id").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("documents"))
 
 
+def token_frequency(paragraphs: DataFrame) -> DataFrame:
+    """``document_frequency`` without an index: one shuffle, of sums per token."""
+    norm = F.col("content_norm") if "content_norm" in paragraphs.columns else normalized(F.col("content"))
+    tokens = paragraphs.select(F.explode(F.array_distinct(F.split(F.trim(norm), " "))).alias("token"))
+    return tokens.where("token != ''").groupBy("token").agg(F.count("*").alias("documents"))
+
+
 def postings_matches(paragraphs: DataFrame, index: DataFrame, keywords: str) -> DataFrame:
     """A keyword search that looks candidates up in the index, and then checks each; the same rows as a scan.
 
@@ -83,6 +95,41 @@ def keys_are_unique(paragraphs: DataFrame) -> bool:
     return paragraphs.groupBy("db_id", "id").count().where("count > 1").isEmpty()
 
 
+def rewrite_summary(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per shard: rows and characters before and after a rewrite, and by how many percent the characters are fewer."""
+    sizes = lambda df, when: df.groupBy("db_id").agg(F.count("*").alias(f"rows_{when}"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias(f"chars_{when}"))
+    both = sizes(before, "before").join(sizes(after, "after"), "db_id", "left").fillna(0)
+    return both.withColumn("reduction_percent", F.when(F.col("chars_before") > 0, F.round((1 - F.col("chars_after") / F.col("chars_before")) * 100, 2)).otherwise(0.0))
+
+
+def integrity(paragraphs: DataFrame) -> DataFrame:
+    """Per shard: rows, distinct ids, and rows without a number, a date or a content."""
+    missing = F.col("process_number").isNull() | F.col("document_date").isNull() | F.col("content").isNull()
+    return paragraphs.groupBy("db_id").agg(F.count("*").alias("n_rows"), F.countDistinct("id").alias("distinct_ids"), F.count_if(missing).alias("incomplete"))
+
+
+def shard_names(spark: SparkSession, path: str) -> list[str]:
+    """The shards of a stored corpus, by its folders."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(unquote(x.getPath().getName().removeprefix("db_id=")) for x in found if x.getPath().getName().startswith("db_id="))
+
+
+def optimize_shards(spark: SparkSession, source: str, target: str) -> list[dict]:
+    """``optimize`` for each shard of a corpus by itself, into ``target/db_id=...``; a shard that fails is reported and left out."""
+    out = []
+    for name in shard_names(spark, source):
+        try:
+            own = spark.read.parquet(f"{source}/db_id={name}").withColumn("db_id", F.lit(name))
+            kept = renumbered(keep_first(own.drop("content_norm")))
+            write(kept.drop("db_id").withColumn("db_id", F.lit(name)), target, "append")
+            done = spark.read.parquet(f"{target}/db_id={name}").withColumn("db_id", F.lit(name))
+            out.append(rewrite_summary(own, done).first().asDict() | {"error": None})
+        except Exception as e:
+            out.append({"db_id": name, "error": str(e)[:500]})
+    return out
+
+
 def optimize(spark: SparkSession, source: str, target: str) -> dict[str, float]:
     """Deduplicate, renumber, normalize, sort and rewrite a corpus to ``target``; check it; report sizes."""
     before = spark.read.parquet(source)

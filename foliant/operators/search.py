@@ -7,13 +7,14 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..plans.filters import all_of, date_filters, holds_excluded, number_filter
 from ..plans.keywords import QuerySyntaxError, keyword_filter
 from ..schema import MAX_PAGE_SIZE, PAGE_SIZE
+from ..storage import stored
 from .corpus import pruned
 
 MENTION = ("process_number", "content", "document_date", "file_path", "db_id")
@@ -80,9 +81,10 @@ def mentions_of(found: DataFrame, keys: DataFrame, small: bool = True) -> DataFr
 
 def labelled(found: DataFrame) -> DataFrame:
     """Each mention's place among its case's, newest first, as ``i/n``."""
-    case = Window.partitionBy("process_number")
-    place, total = F.row_number().over(case.orderBy(*newest())), F.count("*").over(case)
-    return found.withColumn("mention_index", place.cast("long")).withColumn("mention_count", total).withColumn("mention_label", F.concat_ws("/", "mention_index", "mention_count"))
+    totals = found.groupBy(F.col("process_number").alias("_case")).agg(F.count("*").alias("mention_count"))
+    place = F.row_number().over(Window.partitionBy("process_number").orderBy(*newest()))
+    counted = found.withColumn("mention_index", place.cast("long")).join(totals, F.col("process_number").eqNullSafe(F.col("_case"))).drop("_case")
+    return counted.withColumn("mention_label", F.concat_ws("/", "mention_index", "mention_count"))
 
 
 def nested(found: DataFrame) -> DataFrame:
@@ -112,6 +114,17 @@ def total_pages(total: int, page_size: int = PAGE_SIZE) -> int:
     return max(1, -(-total // page_size))
 
 
+def pages_of(total: Column, page_size: Column) -> Column:
+    """``total_pages`` for columns: pages that so many cases fill, one at least."""
+    return F.greatest(F.lit(1), F.ceil(total / page_size))
+
+
+def page_buttons(page: Column, pages: Column, shown: int = 5) -> Column:
+    """The page numbers that are offered around a page: ``shown`` at most, from two before it."""
+    first = F.greatest(F.lit(1), page - 2)
+    return F.sequence(first, F.greatest(first, F.least(pages, first + shown - 1)))
+
+
 @dataclass
 class SearchPage:
     """A page of cases; ``results`` has one row per case with its mentions."""
@@ -136,15 +149,23 @@ def search(paragraphs: DataFrame, keywords: str | None = None, process_number: s
     else:
         found = matches(paragraphs, keywords, process_number, start, end, shards, on_error)
     keys = cases(found, exclusion)
-    chosen = page_of(keys, page, page_size)
-    results = nested(mentions_of(found, chosen, page_size is not None).drop("last_date"))
-    return SearchPage(results, keys.count(), page, page_size, truncated)
+    if page_size is None:
+        return SearchPage(nested(mentions_of(found, page_of(keys, page, None), False).drop("last_date")), keys.count(), page, None, truncated)
+    keys = keys.persist()  # narrow rows, read for the page and for the total
+    try:
+        chosen = page_of(keys, page, page_size).collect()  # a page, MAX_PAGE_SIZE rows at most
+        total = keys.count()
+    finally:
+        keys.unpersist()
+    results = nested(mentions_of(found, paragraphs.sparkSession.createDataFrame(chosen, keys.schema)).drop("last_date"))
+    return SearchPage(results, total, page, page_size, truncated)
 
 
 def _shards_in_time(paragraphs: DataFrame, conditions: dict, seconds: float) -> tuple[DataFrame, bool]:
     """Matches of the shards whose jobs end before the deadline, and whether any is missing."""
     spark, tag = paragraphs.sparkSession, f"search-{uuid.uuid4().hex}"
-    names = [r.db_id for r in paragraphs.select("db_id").distinct().collect()]
+    shards = conditions["shards"]
+    names = [r.db_id for r in (shards if shards is not None else paragraphs).select("db_id").distinct().collect()]  # a row per shard
     found, ended, lock = {}, time.monotonic() + seconds, threading.Lock()
 
     def one(name: str) -> None:
@@ -152,8 +173,7 @@ def _shards_in_time(paragraphs: DataFrame, conditions: dict, seconds: float) ->
             return
         spark.addTag(tag)
         try:
-            part = matches(paragraphs.where(F.col("db_id") == name), **conditions).persist()
-            part.count()
+            part = stored(matches(paragraphs.where(F.col("db_id") == name), **conditions), "found")
             with lock:
                 found[name] = part
         except Exception:

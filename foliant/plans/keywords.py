@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_literal
 
-_PART = re.compile(r'(?:"[^"]*"|\S)+')
+#: What changes on the way from a user's words to the language: operators that stand alone, two signs, spaces; not what is quoted.
+_REWRITTEN = re.compile(r'(?P<quoted>"[^"]*")|(?P<operator>(?<!\S)(?:and|or|not)(?!\S))|(?P<sign>[\\^])|(?P<space>\s+)', re.I)
 _LEXEME = re.compile(r'\s*(?:("(?:[^"]|"")*")|([0-9A-Za-z_\x1a\x80-\U0010ffff]+)|([()*+:,{}]))')
 _TOKENS = re.compile(r"[^\W_]+")
 
@@ -65,14 +66,12 @@ class Nothing:
 
 def sanitize(query: str) -> str:
     """Operators in upper case; backslashes and carets outside of quotes escaped; parts apart by one space."""
-    out = []
-    for part in _PART.findall(query):
-        if part.lower() in ("and", "or", "not"):
-            part = part.upper()
-        elif not (len(part) > 1 and part[0] == part[-1] == '"'):
-            part = re.sub(r"([\\^])", r"\\\1", part)
-        out.append(part)
-    return " ".join(out)
+
+    def rewritten(found: re.Match) -> str:
+        kind, text = found.lastgroup, found[0]
+        return {"quoted": text, "operator": text.upper(), "sign": "\\" + text, "space": " "}[kind]
+
+    return _REWRITTEN.sub(rewritten, query).strip()
 
 
 def _lexemes(query: str) -> list[tuple[str, str]]:
@@ -259,8 +258,22 @@ def compile_filter(node: object, norm: Column) -> Column:
 
 
 def keyword_filter(query: str, norm: Column) -> Column:
-    """Sanitize, parse and compile a user's query; a blank one keeps everything."""
-    return compile_filter(parse(sanitize(query)), norm) if query and query.strip() else F.lit(True)
+    """Sanitize, parse and compile a user's query; a blank one keeps everything.
+
+    Where the query looks at the text more than once, an array of one element gives the normalized text a name, so
+    that it is made once per row and not once per phrase.
+    """
+    if not query or not query.strip():
+        return F.lit(True)
+    tree = parse(sanitize(query))
+    return compile_filter(tree, norm) if looks(tree) < 2 else F.coalesce(F.exists(F.array(norm), lambda n: compile_filter(tree, n)), F.lit(False))
+
+
+def looks(node: object) -> int:
+    """How often a compiled tree reads its text."""
+    if isinstance(node, (Phrase, Nothing)):
+        return int(isinstance(node, Phrase))
+    return len(node.phrases) + 1 if isinstance(node, Near) else looks(node.left) + looks(node.right)
 
 
 def required_terms(node: object) -> list[set[str]] | None:

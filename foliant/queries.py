@@ -16,6 +16,7 @@ from .functions.html import pattern_field
 from .operators import calendar, corpus, extract, ingest, jobs, maintain, search
 from .sinks.export import export_rows
 from .sources.casefile import numbers_in
+from .storage import small
 from .streaming.ingest import event_counts
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
@@ -167,11 +168,11 @@ def shard_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.relevant_shards(corpus.manifest(paragraphs(spark, sf_dir)), "2021-03-01", "2022-12-31")
 
 
-@query(P + ", m as (select db_id, min(document_date) as a, max(document_date) as b from p group by 1) select q.id as order_id, m.db_id from m join (select o_orderkey as id, cast(date '2019-01-01' + cast(o_orderkey % 2190 as integer) as date) as d from orders where o_orderkey % 100 = 0) q on m.b >= q.d and m.a <= q.d")
+@query(P + ", m as (select db_id, min(document_date) as a, max(document_date) as b from p group by 1) select q.id as order_id, m.db_id from m join (select o_orderkey as id, cast(date '2019-01-01' + cast(o_orderkey % 2190 as integer) as date) as d from orders) q on m.b >= q.d and m.a <= q.d")
 def shard_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards that many one-day ranges touch; the manifest has a row per shard."""
-    asked = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("order_id"), F.date_add(F.lit("2019-01-01").cast("date"), (F.col("o_orderkey") % 2190).cast("int")).alias("d"))
-    shards = corpus.manifest(paragraphs(spark, sf_dir))
+    """Shards that one-day ranges touch; the manifest has a row per shard."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.date_add(F.lit("2019-01-01").cast("date"), (F.col("o_orderkey") % 2190).cast("int")).alias("d"))
+    shards = small(corpus.manifest(paragraphs(spark, sf_dir)), 64)
     return asked.join(shards, (F.col("end_date") >= F.col("d")) & (F.col("start_date") <= F.col("d"))).select("order_id", "db_id")
 
 
@@ -195,7 +196,7 @@ def validation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def total_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = paragraphs(spark, sf_dir).agg(F.countDistinct("process_number").alias("total"))
     sizes = F.explode(F.array(*map(F.lit, (1, 20, 100, 500))))
-    return total.select(sizes.alias("page_size"), "total").select("page_size", F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("page_size"))).alias("pages"))
+    return total.select(sizes.alias("page_size"), "total").select("page_size", search.pages_of(F.col("total"), F.col("page_size")).alias("pages"))
 
 
 @query(P + " select id, db_id from (select *, row_number() over (partition by db_id, md5(content) order by id) as r from p) where r = 1")
@@ -216,7 +217,7 @@ def split_by_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(P + ", t as (select distinct id, unnest(string_split(trim(n),' ')) as token from p) select token, count(*) as documents from t where token <> '' group by 1")
 def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintain.document_frequency(maintain.postings(paragraphs(spark, sf_dir)))
+    return maintain.token_frequency(paragraphs(spark, sf_dir))
 
 
 @query(P + " select id from p where (contains(n,' worthless ') and contains(n,' the ')) or contains(n,' of the and ')")
@@ -287,10 +288,10 @@ def format_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts(spark, sf_dir).select("o_orderkey", fn.currency(F.col("amount")).alias("amount"))
 
 
-@query(f"with a as (select o_orderkey, try_cast(replace(regexp_replace({_AMOUNT}, '[^0-9,]', '', 'g'), ',', '.') as double) as v from orders) select o_orderkey, v as value, row_number() over (order by v desc nulls last, o_orderkey) as place from a order by place limit 50")
+@query(f"with a as (select o_orderkey, try_cast(replace(regexp_replace({_AMOUNT}, '[^0-9,]', '', 'g'), ',', '.') as double) as v from orders) select o_orderkey, v as value, row_number() over (order by v desc nulls last, o_orderkey) as place from a")
 def currency_sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _amounts(spark, sf_dir).select("o_orderkey", fn.currency_value(F.col("amount")).alias("value")).orderBy(F.col("value").desc_nulls_last(), "o_orderkey").limit(50)
-    return jobs.numbered(top.select("o_orderkey", "value", F.struct((-F.coalesce("value", F.lit(float("-inf")))).alias("a"), F.col("o_orderkey").alias("b")).alias("k"), F.col("o_orderkey").alias("number")), "k").join(top, F.col("number") == F.col("o_orderkey")).select("o_orderkey", "value", (F.col("ordinal") + 1).alias("place"))
+    amounts = _amounts(spark, sf_dir).select("o_orderkey", fn.currency_value(F.col("amount")).alias("value"))
+    return jobs.numbered(amounts, F.col("value"), F.col("o_orderkey"), descending=True).select("o_orderkey", "value", (F.col("ordinal") + 1).alias("place"))
 
 
 @query("select event_type as error_type, count(*) as n from events where event_type is not null group by 1")
@@ -363,3 +364,6 @@ def keyword_syntax_error_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 _REGISTRY["keyword_syntax_error_is_empty"] = (keyword_syntax_error_is_empty, "select doc_id as id from documents where false")
+
+
+from . import service_queries  # noqa: E402,F401  (registers its queries)

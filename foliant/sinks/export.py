@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import title
-from ..operators.search import labelled, nested, per_shard, summary
+from ..operators.search import labelled, per_shard, summary
 from ..schema import EXPORT_COLUMNS
 
 
@@ -29,22 +29,27 @@ def _line(*cells: object) -> str:
     return out.getvalue()
 
 
+def preamble(found: DataFrame, parameters: Mapping[str, object] | None = None) -> Iterator[tuple]:
+    """The cells of each line before the rows of an export; parameters without a value are left out."""
+    facts = summary(found).first()
+    yield ("=== Search Results Summary ===",)
+    if parameters:
+        yield ("=== Search Parameters ===",)
+        yield from ((k, v) for k, v in parameters.items() if v)
+        yield ("",)
+    yield "Total Processes", facts.total_processes
+    yield "Total Mentions", facts.total_mentions
+    if facts.earliest:
+        yield "Date Range", f"{facts.earliest} to {facts.latest}"
+    yield ("=== Database Distribution ===",)
+    yield from ((f"Database {r.db_id}", r.mentions) for r in per_shard(found).orderBy("db_id").collect())  # a row per shard
+    yield ("",)
+
+
 def csv_lines(found: DataFrame, include_summary: bool = True, parameters: Mapping[str, object] | None = None) -> Iterator[str]:
     """The CSV export line by line; rows come a partition at a time."""
     if include_summary:
-        facts = summary(found).first()
-        yield _line("=== Search Results Summary ===")
-        if parameters:
-            yield _line("=== Search Parameters ===")
-            yield from (_line(k, v) for k, v in parameters.items() if v)
-            yield _line("")
-        yield _line("Total Processes", facts.total_processes)
-        yield _line("Total Mentions", facts.total_mentions)
-        if facts.earliest:
-            yield _line("Date Range", f"{facts.earliest} to {facts.latest}")
-        yield _line("=== Database Distribution ===")
-        yield from (_line(f"Database {r.db_id}", r.mentions) for r in per_shard(found).orderBy("db_id").collect())  # a row per shard
-        yield _line("")
+        yield from (_line(*cells) for cells in preamble(found, parameters))
     yield _line(*EXPORT_COLUMNS)
     yield from (_line(*row) for row in export_rows(found).toLocalIterator())
 
@@ -71,10 +76,6 @@ def json_response(page) -> str:
     return json.dumps({"total_processes": page.total_processes, "page": page.page, "page_size": page.page_size, "truncated": page.truncated, "results": results}, ensure_ascii=False)
 
 
-def nested_rows(found: DataFrame) -> DataFrame:
-    return nested(found)
-
-
 def record_lines(results: DataFrame, mark: bool = False) -> Iterator[str]:
     """Case records as CSV with headings; ``mark`` begins with a byte order mark."""
     yield ("﻿" if mark else "") + _line(*map(title, results.columns))

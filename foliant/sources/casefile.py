@@ -43,7 +43,11 @@ def _numbers(files: pd.Series) -> pd.Series:
 
 def read_case_numbers(spark: SparkSession, path: str) -> DataFrame:
     """Distinct case numbers of all CSV files at a path; a file is a row, so files are read in parallel."""
-    files = spark.read.format("binaryFile").load(path)
+    return csv_case_numbers(spark.read.format("binaryFile").load(path))
+
+
+def csv_case_numbers(files: DataFrame) -> DataFrame:
+    """Distinct case numbers of CSV files, each whole in ``content``."""
     return files.select(F.explode(_numbers("content")).alias("number")).distinct()
 
 

@@ -15,17 +15,18 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
 
 
 def binary_files(spark: SparkSession, path: str, extract: Callable[[bytes], str], pattern: str = "*.pdf") -> DataFrame:
-    """Files read by ``extract``; one that raises gives an empty text, so that others go on."""
+    """(file_path, text, error) of files read by ``extract``; one that raises gives an empty text and its error, and others go on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def text(content: bytes) -> str:
+        def read(content: bytes) -> tuple[str, str | None]:
             try:
-                return extract(content)
-            except Exception:
-                return ""
+                return extract(content), None
+            except Exception as e:
+                return "", f"{type(e).__name__}: {e}"
 
         for batch in batches:
-            yield pd.DataFrame({"file_path": batch.path, "text": batch.content.map(text)})
+            texts, errors = zip(*map(read, batch.content)) if len(batch) else ((), ())
+            yield pd.DataFrame({"file_path": batch.path, "text": texts, "error": errors})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInPandas(run, "file_path string, text string")
+    return files.select("path", "content").mapInPandas(run, "file_path string, text string, error string")

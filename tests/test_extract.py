@@ -86,3 +86,26 @@ def test_jobs(spark, tmp_path):
 def test_message_errors(spark):
     df = spark.createDataFrame([("Timed out",), ("element click intercepted",), ("DNS failure",), ("processo sigiloso",), ("?",)], "m string")
     assert [r[0] for r in df.select(extract.message_error(F.col("m"))).collect()] == ["timeout", "ui_interception", "browser_error", "confidential", "unknown"]
+
+
+def test_places_of_all_rows(spark):
+    rows = spark.createDataFrame([(k, None if k % 4 == 0 else float(k * 7 % 5)) for k in range(200)], "number long, value double").repartition(5)
+    want = sorted(range(200), key=lambda k: (k % 4 == 0, -(k * 7 % 5) if k % 4 else 0, k))
+    for parts in (2, 64):
+        got = jobs.numbered(rows, F.col("value"), F.col("number"), descending=True, parts=parts).orderBy("ordinal").collect()
+        assert [(r.ordinal, r.number) for r in got] == list(enumerate(want))
+    assert jobs.numbered(rows.limit(0), F.col("value"), F.col("number")).count() == 0
+
+
+def test_one_failing_fetch_leaves_the_others(spark, tmp_path):
+    def fetch(numbers):
+        failing = F.when(F.col("number") == "0000002-01.2020.8.26.0001", F.raise_error(F.lit("Connection reset")).cast("string"))
+        return numbers.select("number", F.coalesce(failing, F.lit(PAGE)).alias("html"))
+
+    registry = jobs.JobRegistry(spark, str(tmp_path), fetch, batch_size=2)
+    asked = [f"000000{k}-01.2020.8.26.0001" for k in (1, 2, 3)]
+    job = registry.start(asked, 1, wait=True)
+    assert registry.status(job)["status"] == "done" and registry.status(job)["done"] == 3
+    rows = registry.results(job, asked).collect()
+    assert [r.class_type for r in rows] == ["Execução Fiscal", None, "Execução Fiscal"]
+    assert rows[1].error.startswith("Worker error: ") and rows[1].error_type == "browser_error"

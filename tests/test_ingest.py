@@ -107,3 +107,38 @@ def test_download_plan(spark):
     assert plan.count() == 10 and "2024/01/20240112_Judicial_Capital_1.pdf" in {r.path for r in plan.collect()}
     there = spark.createDataFrame([("2024/01/20240112_Judicial_Capital_1.pdf",)], "path string")
     assert calendar.download_plan(spark, "2024-01-12", "2024-01-15", there, today="2024-01-14").count() == 4
+
+
+def test_ingested_rows_are_optimized(spark, tmp_path):
+    """Ids of ingested rows are hashes over the whole range of longs."""
+    files = spark.createDataFrame([(f"d/202{k}0115_a.txt", GAZETTE + f" Processo 000000{k}-00.2022.8.26.0100 x. Processo 0000009-00.2022.8.26.0100 y") for k in range(4)] + [("d/20200116_b.txt", GAZETTE)], "file_path string, text string")
+    rows = ingest.paragraphs(files)
+    assert rows.where("id < 0").isEmpty() and maintain.keys_are_unique(rows)
+    corpus.write(rows, str(tmp_path / "c"))
+    facts = maintain.optimize(spark, str(tmp_path / "c"), str(tmp_path / "o"))
+    assert (facts["rows_before"], facts["rows_after"]) == (18, 16)
+    back = corpus.load(spark, str(tmp_path / "o"))
+    assert sorted((r.db_id, r.id) for r in back.collect()) == [(f"legal_documents_202{k}", i) for k in range(4) for i in range(4)]
+    wide = spark.createDataFrame([(i, "s") for i in (-(2**63), -5, 0, 7, 2**62, 2**63 - 1)], "id long, db_id string")
+    for rows_a_block in (1, 2, 100):
+        numbered = maintain.renumbered(wide.withColumn("old", F.col("id")), rows_a_block).orderBy("old").collect()
+        assert [r.id for r in numbered] == [0, 1, 2, 3, 4, 5]
+
+
+def test_shards_are_optimized_one_by_one(spark, tmp_path):
+    day = datetime.date(2024, 6, 30)
+    rows = spark.createDataFrame([(k, "n", "same" if k < 3 else f"text {k}", "f", day, f"s{k % 2}") for k in range(6)], "id long, process_number string, content string, file_path string, document_date date, db_id string")
+    corpus.write(rows, str(tmp_path / "c"))
+    (tmp_path / "c" / "db_id=s1" / "part-x.parquet").write_bytes(b"no parquet")
+    found = {x["db_id"]: x for x in maintain.optimize_shards(spark, str(tmp_path / "c"), str(tmp_path / "o"))}
+    assert (found["s0"]["rows_before"], found["s0"]["rows_after"], found["s0"]["error"]) == (3, 2, None) and found["s1"]["error"]
+    assert {r.db_id for r in corpus.load(spark, str(tmp_path / "o")).collect()} == {"s0"}
+
+
+def test_extractor_errors_are_kept(spark, tmp_path):
+    (tmp_path / "20240116_b.pdf").write_bytes(b"broken")
+
+    def read(raw):
+        raise ValueError("no text layer")
+
+    assert [(r.text, r.error) for r in binary_files(spark, str(tmp_path), read).collect()] == [("", "ValueError: no text layer")]

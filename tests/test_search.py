@@ -123,3 +123,14 @@ def test_corpus_on_disk(spark, rows, tmp_path):
     assert "PartitionFilters" in plan and "legal_documents_2024_1" in plan
     stats = {r.db_id: (r.total_entries, r.unique_processes) for r in corpus.shard_statistics(back).collect()}
     assert stats["legal_documents_2024_1"] == (2, 2)
+
+
+def test_text_is_normalized_once_for_several_phrases(rows):
+    plan = search.matches(rows, "(penhora OR x) AND (y NOT z)")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
+def test_page_buttons(spark):
+    shown = spark.createDataFrame([(1, 1), (1, 9), (2, 9), (5, 9), (9, 9)], "page long, pages long")
+    assert [r[0] for r in shown.select(search.page_buttons(F.col("page"), F.col("pages"))).collect()] == [[1], [1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [3, 4, 5, 6, 7], [7, 8, 9]]
+    assert [r[0] for r in spark.createDataFrame([(0,), (201,)], "n long").select(search.pages_of(F.col("n"), F.lit(100))).collect()] == [1, 3]
