@@ -14,7 +14,7 @@ Constant parts are folded while compiling: expressions of literals, branches of
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from typing import Any
 
@@ -41,6 +41,9 @@ class Output:
     def text(self) -> str:
         return "".join(self.parts)
 
+    def clear(self) -> None:
+        self.parts, self.size, self.spans = [], 0, []
+
 
 @dataclass(frozen=True)
 class Literal:
@@ -409,6 +412,37 @@ def _step(node: Any, filters: Mapping[str, Callable[..., Any]]) -> Callable[[dic
     return loop
 
 
+def compile_steps(source: str, filters: Mapping[str, Callable[..., Any]] | None = None) -> Callable[[dict, Output], Iterator[None]]:
+    """A generator function that renders variables into an output step by step.
+
+    It pauses after every outermost part of the template and every turn of an outermost loop, whose values may come from an
+    iterator; so what has been rendered can be taken out of the output in between.
+    """
+    known = {**FILTERS, **(filters or {})}
+    steps = []
+    for node in fold(parse(source), known):
+        if isinstance(node, Repeat):
+            steps.append((node.name, _value(node.over, known), _block(node.body, known)))
+        else:
+            steps.append((None, None, _step(node, known)))
+
+    def render(variables: dict, out: Output) -> Iterator[None]:
+        scope = dict(variables)
+        for name, over, run in steps:
+            if over is None:
+                run(scope, out)
+                yield
+                continue
+            outer = scope.get(name)
+            for x in over(scope) or ():
+                scope[name] = x
+                run(scope, out)
+                yield
+            scope[name] = outer
+
+    return render
+
+
 def compile_template(source: str, filters: Mapping[str, Callable[..., Any]] | None = None) -> Callable[[dict], Output]:
     """A function from variables to output; ``filters`` adds to the language's own."""
     known = {**FILTERS, **(filters or {})}

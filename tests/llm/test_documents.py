@@ -98,6 +98,8 @@ def test_chat(spark):
         assert got.turns_sha256 == hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own).encode()).hexdigest()
         assert (got.n_turns, got.loss_chars, got.loss_sha256) == (len(own), len(learned), hashlib.sha256(learned.encode()).hexdigest())
     assert format_conversations(turns.limit(0)).count() == 0
+    parted = format_conversations(turns, part_chars=1)
+    assert parted.count() == len(rows) + len(found) and {tuple(r) for r in digests(parted).collect()} == {tuple(r) for r in found.values()}
 
 
 def test_escapes_are_reversible():
