@@ -232,7 +232,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, shard_rows: int = 16_
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    key = F.struct(F.col("id").isNull().alias("a"), F.coalesce(F.bitwise_not("id"), F.lit(0)).alias("b"), F.coalesce(F.substring("text", 1, 32), F.lit("")).alias("c"))
+    key = F.struct(F.col("id").isNull().alias("a"), F.coalesce(F.bitwise_not("id"), F.lit(0)).alias("b"), F.coalesce(F.substring("text", 1, 16), F.lit("")).alias("c"))
     keyed = source.withColumn("key", key)
     n = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_SHARDS, math.ceil(source.count() / shard_rows)))
     ranges = keyed.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("least"))

@@ -10,6 +10,7 @@ as far as the first window reaches. Sorted entries with equal anchors stand toge
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -241,7 +242,8 @@ def _prove(again: np.ndarray, same: np.ndarray, order: np.ndarray, at: np.ndarra
                 high += 1
             members = order[low : high + 1].tolist()
             strings = [data[at[m] : at[m] + length].tobytes() for m in members]
-            again[members] = [strings.count(x) > 1 for x in strings]
+            often = Counter(strings)
+            again[members] = [often[x] > 1 for x in strings]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:

@@ -36,7 +36,7 @@ SHARD_SCHEMA = "part int, shard int, n_ids long, doc_ids array<long>, content bi
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, shard_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> None:
     """Encode every text and write the shards below ``path``."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = source.repartitionByRange(parts or parts_for(source), F.col("id"), F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
+    ordered = source.repartitionByRange(parts or parts_for(source), F.col("id"), F.substring("text", 1, 16)).sortWithinPartitions("id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard = TaskContext.get().partitionId(), 0
