@@ -26,3 +26,22 @@ def decompress_content(blobs: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BinaryType())
 def compress_content(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else zlib.compress(t.encode("utf-8"), 9))
+
+
+def readable(blob: bytes | str | None) -> str | None:
+    """Like ``inflate``, but nothing for bytes that are neither packed nor plain UTF-8."""
+    if blob is None or isinstance(blob, str):
+        return blob
+    try:
+        raw = zlib.decompress(blob)
+    except zlib.error:
+        raw = bytes(blob)
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def readable_content(blobs: pd.Series) -> pd.Series:
+    return blobs.map(readable)

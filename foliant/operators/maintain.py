@@ -7,6 +7,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.blobs import readable_content
 from ..functions.text import normalized
 from ..plans.keywords import compile_filter, parse, required_terms, sanitize
 from ..storage import small
@@ -49,6 +50,11 @@ def renumbered(paragraphs: DataFrame, block_rows: int = 50_000) -> DataFrame:
     return placed.withColumn("rank", rank).join(before, ["db_id", "block"]).withColumn("id", F.col("before") + F.col("rank")).select(paragraphs.columns)
 
 
+def decodable(paragraphs: DataFrame) -> DataFrame:
+    """Rows with stored contents (bytes) as rows with texts; those that can't be decoded are passed over, as an index does."""
+    return paragraphs.withColumn("content", readable_content("content")).where("content is not null")
+
+
 def postings(paragraphs: DataFrame) -> DataFrame:
     """(db_id, token, id, pos): where every token stands."""
     norm = F.col("content_norm") if "content_norm" in paragraphs.columns else normalized(F.col("content"))
@@ -155,3 +161,9 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 def analyze(spark: SparkSession, table: str) -> None:
     """Statistics of a catalog table for the optimizer."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
+def known_rows(spark: SparkSession, table: str) -> int | None:
+    """The number of rows that the catalog knows of a table since it was analyzed."""
+    told = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Statistics'").select(F.regexp_extract("data_type", r"(\d+) rows", 1).alias("n")).first()
+    return int(told.n) if told and told.n else None

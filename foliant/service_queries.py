@@ -5,6 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
+import sqlite3
+import uuid
+import zlib
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +22,7 @@ from .queries import _GAZETTE, P, paragraphs, query, table
 from .schema import CASE_RECORDS
 from .sinks.export import json_page, preamble
 from .sources.casefile import csv_case_numbers, listed_numbers
+from .sources.shards import read_shards
 from .storage import scratch
 
 
@@ -248,3 +254,44 @@ def page_buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select * from (values ('number', 'Number'), ('initial_date', 'Initial Date'), ('class_type', 'Class Type'), ('subject', 'Subject'), ('value', 'Value'), ('last_movement', 'Last Movement'), ('status', 'Status'), ('plaintiff', 'Plaintiff'), ('defendant', 'Defendant'), ('other_processes', 'Other Processes'), ('error', 'Error'), ('error_type', 'Error Type')) v(name, heading)")
 def record_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(f.name, fn.title(f.name)) for f in CASE_RECORDS.fields], "name string, heading string")
+
+
+@query(P + " select id, md5(content) as digest from p where id % 3 <> 0")
+def decodable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored contents: packed, plain, and every third one broken."""
+    p, kind = paragraphs(spark, sf_dir), F.col("id") % 3
+    stored_as = F.when(kind == 0, F.unhex(F.lit("FFFE00C3"))).when(kind == 1, compress_content("content")).otherwise(F.col("content").cast("binary"))
+    return maintain.decodable(p.withColumn("content", stored_as)).select("id", F.md5("content").alias("digest"))
+
+
+@query(P + " select distinct file_path, true as processed from p")
+def ledger_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ledger_rows(paragraphs(spark, sf_dir).select("file_path").distinct()).select("file_path", F.col("processed_date").isNotNull().alias("processed"))
+
+
+@query(P + " select count(*) as n_rows, true as has_dates from p")
+def analyzed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog table of the corpus and what its statistics say of it."""
+    name = "foliant_" + uuid.uuid4().hex
+    try:
+        paragraphs(spark, sf_dir).select("id", "process_number", "document_date").write.saveAsTable(name)
+        maintain.analyze(spark, name)
+        facts = [(maintain.known_rows(spark, name), "document_date" in spark.table(name).columns)]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.createDataFrame(facts, "n_rows long, has_dates boolean")
+
+
+@query("select * from (values ('legal_documents_2023', 2, 'Texto dois', date '2023-03-01'), ('legal_documents_2024', 1, 'Texto um', date '2024-02-01'), ('legal_documents_2024', 2, 'Texto dois', date '2024-03-01')) v(db_id, id, content, document_date)")
+def sqlite_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two older shards of three rows, packed and plain contents, read from a date on; a file without the table is passed over."""
+    folder = urlparse(scratch(spark, "shards")).path
+    os.makedirs(folder)
+    for year in (2023, 2024):
+        with sqlite3.connect(f"{folder}/legal_documents_{year}.db") as db:
+            db.execute("create table paragraphs (id integer primary key, process_number text, content blob, file_path text, document_date date)")
+            texts = ["Texto zero", zlib.compress("Texto um".encode()), "Texto dois"]
+            db.executemany("insert into paragraphs values (?, 'n', ?, 'p', ?)", [(k, t, f"{year}-0{k + 1}-01") for k, t in enumerate(texts)])
+    sqlite3.connect(f"{folder}/other.db").close()
+    rows = read_shards(spark, folder).where(F.col("document_date") >= F.lit("2023-02-15").cast("date")).where("id > 0")
+    return rows.select("db_id", F.col("id").cast("int").alias("id"), "content", "document_date")
