@@ -67,7 +67,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined, sizes = compact.value
         frequent, sizes = pa.array(joined.split("\n") if joined else [], pa.string()), np.frombuffer(sizes, "<u2").astype(np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=8 << 20):
             n = encoder(tokenizer_path).document_lengths(batch.column(1), frequent, sizes)
             n_bytes = pc.cast(pc.binary_length(batch.column(1)).fill_null(0), pa.int64())
             yield pa.record_batch([batch.column(0), n_bytes, pa.array(n, pa.int64()), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])

@@ -51,7 +51,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             own = pa.concat_arrays(docs)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), pa.array([pack(np.concatenate(ids), ends, vocabulary)], pa.binary())], names=["part", "shard", "n_ids", "doc_ids", "content"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=8 << 20):
             bare, counts = e.document_ids(batch.column(1))
             counts = counts + 1
             ends = np.cumsum(counts)
