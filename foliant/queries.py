@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .functions.html import pattern_field
 from .operators import calendar, corpus, extract, ingest, jobs, maintain, search
+from .schema import PARAGRAPHS
 from .sinks.export import export_rows
 from .sources.casefile import numbers_in
-from .storage import small
+from .storage import scratch, small
 from .streaming.ingest import event_counts
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+_STORED: dict[tuple[str, str], str] = {}
 
 P = r"""with raw as (
   select doc_id as id, concat(lpad(cast(doc_id%251 as varchar),7,'0'),'-',lpad(cast(doc_id%251%97 as varchar),2,'0'),'.',
@@ -42,6 +44,17 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("db_id", fn.shard_of(F.col("document_date"))).withColumn("file_path", F.concat(F.date_format("document_date", "yyyyMMdd"), F.lit("_"), F.col("source"), F.lit(".pdf")))
 
 
+def stored_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The paragraphs as a written corpus and its index of postings; written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch(spark, "corpus")
+        corpus.write(paragraphs(spark, sf_dir).select(*PARAGRAPHS.names), f"{path}/paragraphs")
+        maintain.write_postings(corpus.load(spark, f"{path}/paragraphs"), f"{path}/postings")
+        _STORED[key] = path
+    return corpus.load(spark, f"{_STORED[key]}/paragraphs"), spark.read.parquet(f"{_STORED[key]}/postings")
+
+
 def query(sql: str) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         _REGISTRY[f.__name__] = (f, sql)
@@ -222,8 +235,9 @@ def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(P + " select id from p where (contains(n,' worthless ') and contains(n,' the ')) or contains(n,' of the and ')")
 def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = paragraphs(spark, sf_dir)
-    return maintain.postings_matches(p, maintain.postings(p), 'worthless the OR "of the and"').select("id")
+    """Over the stored corpus and its written index, which is sorted by token."""
+    p, index = stored_corpus(spark, sf_dir)
+    return maintain.postings_matches(p, index, 'worthless the OR "of the and"').select("id")
 
 
 _GAZETTE = r"""with raw as (select doc_id, concat('kopf ',text,' Processo ',lpad(cast(doc_id as varchar),7,'0'),'-01.2020.8.26.0001  ',lang,' Processo sem  ',' Processo ',lpad(cast(doc_id+1 as varchar),7,'0'),'-02.2021.8.26.0002 -  Fim',chr(10)) as t from documents)"""
