@@ -1,17 +1,16 @@
-"""Helpers that the training-data operators share: shared scratch folders, table access, Arrow batches."""
+"""Helpers that the training-data operators share: table access, sizes of shuffles, Arrow batches."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..storage import scratch, shared_dir, small, stored  # noqa: F401  (for the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,38 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); on one machine alone a temporary one will do."""
-    context = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not path:
-        if not context.master.partition("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="foliant-")  # one machine: tests and trials
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path for one table in the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, bytes_a_row: int, most: int = 16 << 20) -> DataFrame:
-    """``df`` (a stored table) broadcast if its rows, counted now, take ``most`` bytes at most; else joins shuffle it."""
-    return F.broadcast(df) if df.count() * bytes_a_row <= most else df
-
-
 def parts_for(df: DataFrame, part_bytes: int = 64 << 20) -> int:
     """Into how many parts a shuffle of ``df`` should go: by its size as the optimizer knows it, the session's setting at least."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
