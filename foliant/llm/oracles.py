@@ -47,3 +47,45 @@ e as (select *, length(regexp_replace(t, '([<\[])(\\*)(/s>|s>|/INST\]|INST\]|/RO
 g as (select conv_id, count(*) as n_turns, string_agg(concat(role, chr(10), t, chr(10)), '' order by turn, role, t) as turns, string_agg(case when role = 'assistant' then t else '' end, '' order by turn, role, t) as learned,
   3 + sum(case role when 'user' then 15 + shown when 'assistant' then 4 + shown else 23 + shown_role + shown end) as chars from e group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(learned) as bigint) as loss_chars, sha256(learned) as loss_sha256, cast(chars as bigint) as formatted_chars from g"""
+
+_MARKED = "select doc_id, x, '{kind}' as kind, {rank} as rank, string_split(regexp_replace(x, '{pattern}', chr(1048573)||'\\0'||chr(1048574), 'g'), chr(1048573)) as pieces from t"
+
+
+def _op11() -> str:
+    """Base matches lie between marks; candidates likewise, and each of their windows is counted by itself."""
+    from .secret_scan import ALLOWED_BEFORE, ALLOWED_INSIDE, CLASSES
+
+    either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "(password|passwd|secret|token|api_?key)")
+    base = [("assign", either + r"""["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+")]
+    runs = [(f"c{k}", f"[{c.signs}]+") for k, c in enumerate(CLASSES)]
+    marked = " union all ".join(_MARKED.format(kind=kind, rank=rank, pattern=pattern) for rank, (kind, pattern) in enumerate(base + runs))
+    classes = " union all ".join(f"select start as c_start, s, doc_id, x, unnest(range(1, length(s) - {c.window - 2})) as i, {c.window} as size, {c.bits}::double as bits, {c.digits} as digits, {c.lower} as lower, {c.upper} as upper from p where kind = 'c{k}' and length(s) >= {c.window}" for k, c in enumerate(CLASSES))
+    assigned = r"""length(regexp_extract(s, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?(.*)$', 1)) >= 8"""
+    quoted = lambda pattern: pattern.replace("'", "''")
+    return rf"""with t as (select doc_id, coalesce(text, '') as x from documents), m as ({marked}),
+u as (select doc_id, x, kind, rank, unnest(pieces) as piece, generate_subscripts(pieces, 1) as i from m where len(pieces) > 1),
+v as (select *, coalesce(sum(length(replace(piece, chr(1048574), ''))) over (partition by doc_id, kind order by i rows between unbounded preceding and 1 preceding), 0) as start from u),
+p as (select doc_id, x, kind, rank, start, split_part(piece, chr(1048574), 1) as s from v where i > 1),
+b as (select doc_id, kind, rank, start, start + length(s) as stop from p where (kind = 'assign' and {assigned}) or (kind = 'access' and length(s) >= 16) or (kind = 'hex' and length(s) >= 32)),
+w as (select *, substring(s, i, size) as w from ({classes})),
+h as (select *, list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda c: cast(round(c * log2(c) * 1048576) as bigint))) as total from w),
+g as (select doc_id, x, c_start + i - 1 as start, c_start + i - 1 + size as stop from h where total <= floor((log2(size) - bits) * size * 1048576) and length(regexp_replace(w, '[^0-9]', '', 'g')) >= digits and length(regexp_replace(w, '[^a-z]', '', 'g')) >= lower and length(regexp_replace(w, '[^A-Z]', '', 'g')) >= upper),
+o as (select *, case when start > max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding) then 1 else 0 end as fresh from g),
+r as (select *, sum(fresh) over (partition by doc_id order by start, stop rows unbounded preceding) as run from o),
+e as (select doc_id, x, min(start) as start, max(stop) as stop from r group by doc_id, x, run),
+a as (select doc_id, kind, rank, start, stop from b union all select doc_id, 'entropy', 3, start, stop from e where not exists (select 1 from b where b.doc_id = e.doc_id and b.start < e.stop and e.start < b.stop)
+  and not regexp_matches(substring(x, greatest(1, start - 31)::bigint, least(32, start)::bigint), '{quoted(ALLOWED_BEFORE)}') and not regexp_matches(substring(x, (start + 1)::bigint, (stop - start)::bigint), '{quoted(ALLOWED_INSIDE)}')),
+k as (select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+  string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) filter (where kind <> 'entropy') as base, string_agg(concat(kind, ':', start, ':', stop), ',' order by start, rank) as spans from a group by doc_id)
+select t.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from t left join k on k.doc_id = t.doc_id"""
+
+
+OP11_SECRET_SCAN = _op11()
+
+OP12_HARD_NEGATIVES = """with r as (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id as id, b.label as label, cast(list_inner_product(a.v, b.v) as bigint) as score from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, anchor_label, id as positive_id, score as positive_score from s where label = anchor_label qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select p.anchor_id, positive_id, positive_score, id as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as rank
+  from p join s on s.anchor_id = p.anchor_id and s.label <> p.anchor_label and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10"""

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .chat import digests, format_conversations
 from .common import table
 from .cotraining import score_documents
 from .decontaminate import contaminated
+from .hard_negatives import hard_negatives, quantized
 from .merkle import edit_fingerprints
 from .mixing import mix, training_order
 from .near_duplicates import near_duplicate_classes
+from .secret_scan import secret_spans, span_digests
+from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_shards import token_shards
@@ -66,10 +70,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(secret_spans(table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantized(table(spark, sf_dir, "embeddings")).withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     """What SQL can express; the others are held against brute force in the tests."""
-    return {"op1_url_filter": oracles.OP1_URL_FILTER, "op2_suffix_dedup": oracles.OP2_SUFFIX_DEDUP, "op4_mixing": oracles.OP4_MIXING, "op6_chat": oracles.OP6_CHAT}
+    return {"op1_url_filter": oracles.OP1_URL_FILTER, "op2_suffix_dedup": oracles.OP2_SUFFIX_DEDUP, "op4_mixing": oracles.OP4_MIXING, "op6_chat": oracles.OP6_CHAT, "op11_secret_scan": oracles.OP11_SECRET_SCAN, "op12_hard_negatives": oracles.OP12_HARD_NEGATIVES}
