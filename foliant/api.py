@@ -59,7 +59,7 @@ class Service:
         page = self.refused(headers) or self._page(asked)
         if isinstance(page, tuple):
             return page
-        rows = page.results.select("process_number", F.posexplode("mentions").alias("id", "m")).select(F.col("id").cast("long").alias("id"), "process_number", "m.content", "m.document_date", "m.file_path", "m.db_id")
+        rows = page.results.select("process_number", "part", F.posexplode("mentions").alias("at", "m")).select((F.col("part") * search.MENTIONS_A_ROW + F.col("at")).cast("long").alias("id"), "process_number", "m.content", "m.document_date", "m.file_path", "m.db_id")
         return 200, {"Content-Type": "text/csv", "Content-Disposition": "attachment; filename=search.csv"} | ({"X-Truncated": "true"} if page.truncated else {}), "".join(csv_lines(rows, include_summary=False))
 
     def stats(self, headers: Mapping[str, str]) -> Answer:

@@ -6,14 +6,16 @@ import json
 import threading
 import time
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CASE_RECORDS
 from .extract import error_histogram, in_input_order, message_error, outcome, records, remaining
+from .ordered import ordinals
 
 Fetch = Callable[[DataFrame], DataFrame]
 
@@ -78,7 +80,8 @@ class JobRegistry:
 
     def _run(self, job: Job, numbers: list[str], max_concurrent: int) -> None:
         job.status = "running"
-        distinct = list(dict.fromkeys(numbers))
+        times = Counter(numbers)
+        distinct = list(times)
         try:
             for at in range(0, len(distinct), self.batch_size):
                 began, part = time.monotonic(), distinct[at : at + self.batch_size]
@@ -89,7 +92,7 @@ class JobRegistry:
                 except Exception:
                     self._one_by_one(job, part)
                 with self.lock:
-                    job.done = sum(n in set(distinct[: at + len(part)]) for n in numbers)
+                    job.done += sum(times[n] for n in part)
                     job.seconds.append(time.monotonic() - began)
             job.status = "done"
         except Exception as e:
@@ -160,18 +163,8 @@ def report(facts: dict) -> str:
     return "\n".join([*lines, f"Seconds per case: {facts['seconds_per_case']}", f"Cases per minute: {facts['cases_per_minute']}"])
 
 
-def numbered(rows: DataFrame, value: Column, key: Column, descending: bool = False, parts: int = 64) -> DataFrame:
-    """All rows with ``ordinal``: from 0 by a number (nulls last), ties by another one.
-
-    Rows are counted in ranges, which quantiles of the number bound, and those without a number in ranges of the key;
-    sums over the ranges replace one window over all rows.
-    """
-    cuts = [k / parts for k in range(1, parts)]
-    marked = rows.withColumn("_value", value.cast("double") * (-1 if descending else 1)).withColumn("_key", key.cast("double"))
-    bounds = marked.agg(F.percentile_approx("_value", cuts).alias("a"), F.percentile_approx(F.when(F.col("_value").isNull(), F.col("_key")), cuts).alias("b")).first()
-    above = lambda c, xs: F.size(F.filter(F.array(*map(F.lit, sorted(set(xs)))), lambda b: b < F.col(c))) if xs else F.lit(0)
-    placed = marked.withColumn("_range", F.when(F.col("_value").isNotNull(), above("_value", bounds.a)).otherwise(parts + above("_key", bounds.b)))
-    counts = placed.groupBy("_range").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("_range"), F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 2 * parts rows
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("_value").asc_nulls_last(), "_key")) - 1
-    return placed.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn("ordinal", F.col("_before") + F.col("_inside")).select(*rows.columns, "ordinal")
+def numbered(rows: DataFrame, value: Column, key: Column, descending: bool = False, parts: int | None = None) -> DataFrame:
+    """All rows with ``ordinal``: from 0 by a value (nulls last), ties by a key of any type; a value of most rows is spread by the key."""
+    keyed = rows.withColumns({"_value": value, "_key": key})
+    by = F.col("_value").desc_nulls_last() if descending else F.col("_value").asc_nulls_last()
+    return ordinals(keyed, [by, F.col("_key").asc_nulls_last()], "ordinal", parts).drop("_value", "_key")

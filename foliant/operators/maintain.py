@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import slices, token_places
 from ..functions.blobs import readable_content
 from ..functions.text import normalized
 from ..plans.keywords import compile_filter, parse, required_terms, sanitize
-from ..storage import small
 from .corpus import write
+from .ordered import places
+
+POSTINGS = "db_id string, token string, id long, positions array<int>"
 
 
 def split_by_ranges(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -35,19 +40,12 @@ def keep_first(paragraphs: DataFrame) -> DataFrame:
     return keyed.join(first, ["db_id", "digest", "id"], "left_semi").drop("digest").select(paragraphs.columns)
 
 
-def renumbered(paragraphs: DataFrame, block_rows: int = 50_000) -> DataFrame:
-    """Ids from 0 in each shard in the order of the old ids, counted in blocks of the id range.
+def renumbered(paragraphs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Ids from 0 in each shard in the order of the old ids.
 
-    Sums over blocks, about one for each ``block_rows`` rows, replace one window over a whole shard. Blocks are found by floating-point shares of
-    the range, which keep the order of ids and have room for any of them.
+    Rows are counted in ranges of (shard, id) that hold about equally many, however the ids are spread; no window sees a shard.
     """
-    span = paragraphs.groupBy("db_id").agg(F.min("id").cast("double").alias("low"), F.max("id").cast("double").alias("high"), F.ceil(F.count("*") / block_rows).alias("blocks"))
-    share = (F.col("id").cast("double") - F.col("low")) / F.greatest(F.lit(1.0), F.col("high") - F.col("low"))
-    placed = paragraphs.join(small(span, 64), "db_id").withColumn("block", F.floor(share * F.col("blocks")))
-    counts = placed.groupBy("db_id", "block").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("db_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    rank = F.row_number().over(Window.partitionBy("db_id", "block").orderBy("id")) - 1
-    return placed.withColumn("rank", rank).join(before, ["db_id", "block"]).withColumn("id", F.col("before") + F.col("rank")).select(paragraphs.columns)
+    return places(paragraphs, ["db_id"], [F.col("id").asc_nulls_first()], "_new", ranges).withColumn("id", F.col("_new")).select(paragraphs.columns)
 
 
 def decodable(paragraphs: DataFrame) -> DataFrame:
@@ -56,9 +54,16 @@ def decodable(paragraphs: DataFrame) -> DataFrame:
 
 
 def postings(paragraphs: DataFrame) -> DataFrame:
-    """(db_id, token, id, pos): where every token stands."""
+    """(db_id, token, id, positions): every token of every row, with all places where it stands."""
     norm = F.col("content_norm") if "content_norm" in paragraphs.columns else normalized(F.col("content"))
-    return paragraphs.select("db_id", "id", F.posexplode(F.split(F.trim(norm), " ")).alias("pos", "token")).where("token != ''").select("db_id", "token", "id", "pos")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            row, token, positions = token_places(part.column(1))
+            row = pa.array(row)
+            yield pa.record_batch([part.column(0).take(row), token, part.column(2).take(row), positions], names=["db_id", "token", "id", "positions"])
+
+    return paragraphs.select("db_id", norm.alias("text"), F.col("id").cast("long")).mapInArrow(places, POSTINGS)
 
 
 def write_postings(paragraphs: DataFrame, path: str) -> None:
@@ -69,7 +74,7 @@ def write_postings(paragraphs: DataFrame, path: str) -> None:
 
 def document_frequency(index: DataFrame) -> DataFrame:
     """In how many rows each token of an index stands."""
-    return index.groupBy("db_id", "token", "id").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("documents"))
+    return index.groupBy("token").agg(F.count("*").alias("documents"))
 
 
 def token_frequency(paragraphs: DataFrame) -> DataFrame:
@@ -91,7 +96,7 @@ def postings_matches(paragraphs: DataFrame, index: DataFrame, keywords: str) ->
         return paragraphs.where(test)
     keys = None
     for alternative in terms:
-        hits = index.where(F.col("token").isin(sorted(alternative))).groupBy("db_id", "id").agg(F.countDistinct("token").alias("n")).where(F.col("n") == len(alternative)).select("db_id", "id")
+        hits = index.where(F.col("token").isin(sorted(alternative))).groupBy("db_id", "id").agg(F.count("*").alias("n")).where(F.col("n") == len(alternative)).select("db_id", "id")
         keys = hits if keys is None else keys.unionAll(hits)
     return paragraphs.where(test) if keys is None else paragraphs.join(keys, ["db_id", "id"], "left_semi").where(test)
 

@@ -16,7 +16,11 @@ from ..plans.keywords import QuerySyntaxError, keyword_filter
 from ..schema import MAX_PAGE_SIZE, PAGE_SIZE
 from ..storage import stored
 from .corpus import pruned
+from .index import met
+from .ordered import places
 
+#: Mentions of a case in one row of a nested result.
+MENTIONS_A_ROW = 200
 MENTION = ("process_number", "content", "document_date", "file_path", "db_id")
 
 
@@ -25,6 +29,12 @@ def newest() -> list:
     return [F.col("document_date").desc_nulls_last(), F.col("db_id").asc(), F.col("id").asc()]
 
 
+def one_of(column: str, values: list) -> Column:
+    """Whether a column has one of the values, null among them."""
+    known = F.col(column).isin([v for v in values if v is not None])
+    return F.coalesce(known, F.lit(False)) | F.col(column).isNull() if None in values else known
+
+
 def matches(paragraphs: DataFrame, keywords: str | None = None, process_number: str | None = None, start: str | None = None, end: str | None = None, shards: DataFrame | None = None, on_error: str = "raise") -> DataFrame:
     """Mentions that fit all given conditions; none given keeps all.
 
@@ -80,19 +90,24 @@ def mentions_of(found: DataFrame, keys: DataFrame, small: bool = True) -> DataFr
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Each mention's place among its case's, newest first, as ``i/n``."""
-    totals = found.groupBy(F.col("process_number").alias("_case")).agg(F.count("*").alias("mention_count"))
-    place = F.row_number().over(Window.partitionBy("process_number").orderBy(*newest()))
-    counted = found.withColumn("mention_index", place.cast("long")).join(totals, F.col("process_number").eqNullSafe(F.col("_case"))).drop("_case")
+    """Each mention's place among its case's, newest first, as ``i/n``; a case of most mentions is spread over tasks."""
+    placed = places(found, ["process_number"], newest(), "_at")
+    counted = placed.withColumn("mention_count", F.col("_at_of")).withColumn("mention_index", F.col("_at") + 1).drop("_at", "_at_of")
     return counted.withColumn("mention_label", F.concat_ws("/", "mention_index", "mention_count"))
 
 
-def nested(found: DataFrame) -> DataFrame:
-    """One row per case with its mentions in order, cases by recency."""
-    ordered = F.sort_array(F.collect_list(F.struct((-F.unix_date("document_date")).alias("age"), "db_id", "id", "document_date", "file_path", "content")))
-    grouped = found.groupBy("process_number").agg(F.count("*").alias("mention_count"), F.max("document_date").alias("last_date"), ordered.alias("all"))
-    mention = lambda x: F.struct(x["document_date"].alias("document_date"), x["db_id"].alias("db_id"), x["file_path"].alias("file_path"), x["content"].alias("content"))
-    return by_recency(grouped).select("process_number", F.col("mention_count").cast("int").alias("mention_count"), F.transform(F.concat(F.filter("all", lambda x: x["age"].isNotNull()), F.filter("all", lambda x: x["age"].isNull())), mention).alias("mentions"))
+def nested(found: DataFrame, most: int = MENTIONS_A_ROW) -> DataFrame:
+    """Cases by recency with their mentions in order: a row per case, and for every ``most`` mentions of it (``part`` from 0).
+
+    So no row, and no task, grows with a case.
+    """
+    mention = F.struct("document_date", "db_id", "file_path", "content")
+    parted = labelled(found).withColumn("part", F.floor((F.col("mention_index") - 1) / most).cast("int"))
+    rows = parted.groupBy("process_number", "part").agg(F.first("mention_count").cast("int").alias("mention_count"), F.sort_array(F.collect_list(F.struct("mention_index", mention.alias("m")))).alias("all"))
+    last = found.groupBy(F.col("process_number").alias("_case")).agg(F.max("document_date").alias("last_date"))
+    dated = rows.join(last, F.col("process_number").eqNullSafe(F.col("_case")))
+    ordered = dated.orderBy(F.col("last_date").desc_nulls_last(), F.col("process_number").asc(), "part")
+    return ordered.select("process_number", "mention_count", "part", F.transform("all", lambda x: x["m"]).alias("mentions"))
 
 
 def newest_per_case(found: DataFrame, n: int) -> DataFrame:
@@ -142,13 +157,16 @@ def search(paragraphs: DataFrame, keywords: str | None = None, process_number: s
     Keys are paged before contents are fetched. With a deadline, shards are searched as jobs of their own, and those that
     don't end in time are left out and the page marked as truncated.
     """
+    found = matches(paragraphs, keywords, process_number, start, end, shards, on_error)
     truncated = False
     if deadline_seconds is not None:
-        done, truncated = _shards_in_time(paragraphs, dict(keywords=keywords, process_number=process_number, start=start, end=end, shards=shards, on_error=on_error), deadline_seconds)
-        found = done
+        conditions = dict(keywords=keywords, process_number=process_number, start=start, end=end, shards=shards, on_error=on_error)
+        seen, done, truncated = _shards_in_time(paragraphs, conditions, exclusion, deadline_seconds)
+        found = met(matches(paragraphs.where(one_of("db_id", done)), **conditions), seen)
+        per_case = seen.groupBy("process_number").agg(F.count("*").alias("mention_count"), F.max("document_date").alias("last_date"), F.bool_or("bad").alias("bad"))
+        keys = per_case.where("not bad").drop("bad")
     else:
-        found = matches(paragraphs, keywords, process_number, start, end, shards, on_error)
-    keys = cases(found, exclusion)
+        keys = cases(found, exclusion)
     if page_size is None:
         return SearchPage(nested(mentions_of(found, page_of(keys, page, None), False).drop("last_date")), keys.count(), page, None, truncated)
     keys = keys.persist()  # narrow rows, read for the page and for the total
@@ -161,21 +179,27 @@ def search(paragraphs: DataFrame, keywords: str | None = None, process_number: s
     return SearchPage(results, total, page, page_size, truncated)
 
 
-def _shards_in_time(paragraphs: DataFrame, conditions: dict, seconds: float) -> tuple[DataFrame, bool]:
-    """Matches of the shards whose jobs end before the deadline, and whether any is missing."""
+def _shards_in_time(paragraphs: DataFrame, conditions: dict, exclusion: str | None, seconds: float) -> tuple[DataFrame, list[str | None], bool]:
+    """Keys, dates and cases of the matches of shards whose jobs end before the deadline, these shards, and whether any is missing.
+
+    Contents are fetched later, for a page. A shard that ends late doesn't count, so that each shard is there whole or not at all.
+    """
     spark, tag = paragraphs.sparkSession, f"search-{uuid.uuid4().hex}"
     shards = conditions["shards"]
     names = [r.db_id for r in (shards if shards is not None else paragraphs).select("db_id").distinct().collect()]  # a row per shard
     found, ended, lock = {}, time.monotonic() + seconds, threading.Lock()
+    bad = holds_excluded(exclusion, F.col("content"))
+    narrow = lambda rows: matches(rows, **conditions).select("db_id", "id", "process_number", "document_date", (bad if bad is not None else F.lit(False)).alias("bad"))
 
-    def one(name: str) -> None:
+    def one(name: str | None) -> None:
         if time.monotonic() >= ended:
             return
         spark.addTag(tag)
         try:
-            part = stored(matches(paragraphs.where(F.col("db_id") == name), **conditions), "found")
+            part = stored(narrow(paragraphs.where(F.col("db_id").eqNullSafe(F.lit(name)))), "found")
             with lock:
-                found[name] = part
+                if time.monotonic() < ended:
+                    found[name] = part
         except Exception:
             if time.monotonic() < ended:
                 raise
@@ -184,7 +208,7 @@ def _shards_in_time(paragraphs: DataFrame, conditions: dict, seconds: float) ->
 
     from pyspark import InheritableThread
 
-    waiting = sorted(names)
+    waiting = sorted(names, key=lambda n: (n is None, n))
     while waiting:
         batch, waiting = waiting[:16], waiting[16:]
         threads = [InheritableThread(target=one, args=(name,)) for name in batch]
@@ -196,8 +220,8 @@ def _shards_in_time(paragraphs: DataFrame, conditions: dict, seconds: float) ->
             spark.interruptTag(tag)
             break
     with lock:
-        parts = list(found.values())
-    out = matches(paragraphs.limit(0), **conditions)
+        parts, done = list(found.values()), list(found)
+    out = narrow(paragraphs.limit(0))
     for part in parts:
         out = out.unionAll(part)
-    return out, len(parts) < len(names)
+    return out, done, len(parts) < len(names)

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from .functions import text as fn
 from .functions.html import pattern_field
 from .operators import calendar, corpus, extract, ingest, jobs, maintain, search
+from .operators.index import write_dictionary
+from .operators.substrings import write_grams
 from .schema import PARAGRAPHS
 from .sinks.export import export_rows
 from .sources.casefile import numbers_in
-from .storage import scratch, small
+from .storage import scratch, small, state_of
 from .streaming.ingest import event_counts
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple, str] = {}
 
 P = r"""with raw as (
   select doc_id as id, concat(lpad(cast(doc_id%251 as varchar),7,'0'),'-',lpad(cast(doc_id%251%97 as varchar),2,'0'),'.',
@@ -45,8 +47,8 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The paragraphs as a written corpus and its index of postings; written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The paragraphs as a written corpus and its index of postings; written anew when the documents' files change."""
+    key = (spark.sparkContext.applicationId, state_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet"))
     if key not in _STORED:
         path = scratch(spark, "corpus")
         corpus.write(paragraphs(spark, sf_dir).select(*PARAGRAPHS.names), f"{path}/paragraphs")
@@ -55,6 +57,18 @@ def stored_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return corpus.load(spark, f"{_STORED[key]}/paragraphs"), spark.read.parquet(f"{_STORED[key]}/postings")
 
 
+def side_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored index's dictionary, and the trigrams of its tokens; written beside it when first asked for."""
+    _, index = stored_corpus(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, state_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet"))
+    path = _STORED[key]
+    if (key, "side") not in _STORED:
+        write_dictionary(index, f"{path}/dictionary")
+        write_grams(spark.read.parquet(f"{path}/dictionary"), "token", f"{path}/grams")
+        _STORED[key, "side"] = path
+    return spark.read.parquet(f"{path}/dictionary"), spark.read.parquet(f"{path}/grams")
+
+
 def query(sql: str) -> Callable:
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         _REGISTRY[f.__name__] = (f, sql)
@@ -127,7 +141,9 @@ string_agg(concat(cast(document_date as varchar),'/',db_id,'/',cast(length(conte
 def group_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.nested(search.matches(paragraphs(spark, sf_dir), "worthless"))
     shown = F.transform("mentions", lambda m: F.concat_ws("/", m["document_date"].cast("string"), m["db_id"], F.length(m["content"]).cast("string")))
-    return found.select("process_number", F.col("mention_count").cast("long").alias("mention_count"), F.array_max("mentions.document_date").alias("last_date"), F.array_join(shown, ";").alias("mentions"))
+    parts = found.select("process_number", "mention_count", "part", F.array_max("mentions.document_date").alias("last_date"), F.array_join(shown, ";").alias("shown"))
+    whole = parts.groupBy("process_number").agg(F.first("mention_count").cast("long").alias("mention_count"), F.max("last_date").alias("last_date"), F.sort_array(F.collect_list(F.struct("part", "shown"))).alias("all"))  # without contents
+    return whole.select("process_number", "mention_count", "last_date", F.array_join("all.shown", ";").alias("mentions"))
 
 
 @query(P + " select id, process_number from p where process_number not in (select process_number from p where contains(lower(content),'stupid'))")
@@ -142,7 +158,7 @@ def exclude_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(P + " select id, concat(cast(row_number() over (partition by process_number order by document_date desc, db_id, id) as varchar),'/',cast(count(*) over (partition by process_number) as varchar)) as mention_label from p")
 def mention_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.labelled(search.matches(paragraphs(spark, sf_dir))).select("id", "mention_label")
+    return search.labelled(search.matches(paragraphs(spark, sf_dir)).drop("content")).select("id", "mention_label")
 
 
 @query(P + " select id, process_number, document_date from (select *, row_number() over (partition by process_number order by document_date desc, db_id, id) as r from p) where r <= 2")
@@ -380,4 +396,4 @@ def keyword_syntax_error_is_empty(spark: SparkSession, sf_dir: str) -> DataFrame
 _REGISTRY["keyword_syntax_error_is_empty"] = (keyword_syntax_error_is_empty, "select doc_id as id from documents where false")
 
 
-from . import service_queries  # noqa: E402,F401  (registers its queries)
+from . import index_queries, service_queries  # noqa: E402,F401  (register their queries)

@@ -17,8 +17,8 @@ from ..schema import EXPORT_COLUMNS
 
 def export_rows(found: DataFrame) -> DataFrame:
     """One row per mention in export order: cases by recency, mentions newest first."""
-    last = found.groupBy("process_number").agg(F.max("document_date").alias("last_date"))
-    rows = labelled(found).join(last, "process_number").orderBy(F.col("last_date").desc_nulls_last(), "process_number", "mention_index")
+    last = found.groupBy(F.col("process_number").alias("_case")).agg(F.max("document_date").alias("last_date"))
+    rows = labelled(found).join(last, F.col("process_number").eqNullSafe(F.col("_case"))).orderBy(F.col("last_date").desc_nulls_last(), "process_number", "mention_index")
     values = ("process_number", "mention_label", "document_date", "db_id", "file_path", "content")
     return rows.select(*[F.col(v).alias(c) for v, c in zip(values, EXPORT_COLUMNS)])
 
@@ -66,13 +66,19 @@ def write_csv_parts(found: DataFrame, path: str) -> None:
 
 
 def json_page(page) -> DataFrame:
-    """One JSON text per case of a search page."""
+    """One JSON text per row of a search page: a case, or a part of one with very many mentions."""
     return page.results.select(F.to_json(F.struct("process_number", "mention_count", "mentions")).alias("json"))
 
 
 def json_response(page) -> str:
     """The answer to a search request: totals and the page's cases."""
-    results = [json.loads(r.json) for r in json_page(page).toLocalIterator()]  # at most a page
+    results: list[dict] = []
+    for row in json_page(page).toLocalIterator():  # at most a page
+        case = json.loads(row.json)
+        if results and results[-1].get("process_number") == case.get("process_number"):
+            results[-1]["mentions"] += case["mentions"]
+        else:
+            results.append(case)
     return json.dumps({"total_processes": page.total_processes, "page": page.page, "page_size": page.page_size, "truncated": page.truncated, "results": results}, ensure_ascii=False)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -26,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def state_of(spark: SparkSession, path: str) -> str:
+    """A text that changes whenever a table's files do: their names, sizes and times, asked from the file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    told = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path for one table in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
