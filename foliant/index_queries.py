@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corpus, search
+from .operators import corpus, distincts, intervals, maintain, search
 from .operators.index import IndexSearch
+from .operators.maintain import document_frequency
 from .operators.pages import PageIndex, newest_cases, page_after
 from .operators.segments import SegmentedIndex
 from .operators.substrings import with_number, without_excluded, write_grams
-from .operators.maintain import document_frequency
 from .queries import P, paragraphs, query, side_tables, stored_corpus, table
 from .schema import PARAGRAPHS
+from .sinks.export import export_rows
+from .sinks.export_source import read_export, write_export
 from .storage import scratch
+from .streaming.ingest import ingest_files, ingested
 
 
 def _searched(keywords: str):
@@ -134,3 +137,77 @@ def page_by_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _order_cases(spark, sf_dir)
     last = search.by_recency(keys).limit(500).orderBy(F.col("last_date").asc(), F.col("process_number").desc()).first()
     return page_after(keys, last.last_date, last.process_number, 500)
+
+
+@query(P + """, r as (select n_nationkey as range_id, cast(date '2019-01-01' + cast(n_nationkey * 67 as integer) as date) as a, cast(date '2019-01-01' + cast(n_nationkey * 67 + n_nationkey * n_nationkey * 3 as integer) as date) as b from nation)
+select cast(range_id as bigint) as range_id, count(distinct process_number) as n_cases from r join p on document_date between a and b group by 1""")
+def distinct_cases_of_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases of ranges of dates, one for each nation, as unions of stored bitmaps."""
+    path, day = scratch(spark, "bitmaps"), F.lit("2019-01-01").cast("date")
+    distincts.write_bitmaps(paragraphs(spark, sf_dir), path)
+    n = F.col("n_nationkey")
+    ranges = table(spark, sf_dir, "nation").select(n.cast("long").alias("range_id"), F.date_add(day, (n * 67).cast("int")).alias("start_date"), F.date_add(day, (n * 67 + n * n * 3).cast("int")).alias("end_date"))
+    return distincts.distinct_cases(spark.read.parquet(path), ranges)
+
+
+@query("""with a as (select o_orderkey as id, cast(o_orderdate as date) as s, cast(cast(o_orderdate as date) + cast(o_orderkey % 4 as integer) as date) as e from orders), b as (select o_orderkey as other, cast(o_orderdate as date) as s, cast(cast(o_orderdate as date) + cast(o_custkey % 3 * 2 as integer) as date) as e from orders)
+select id, count(*) as n, min(other) as first_other, max(other) as last_other from a join b on a.s <= b.e and b.s <= a.e group by 1""")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of dates of all orders against other ranges of all orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
+    left = o.select(F.col("o_orderkey").alias("id"), intervals.days(F.col("d")).alias("start"), (intervals.days(F.col("d")) + F.col("o_orderkey") % 4).alias("end"))
+    right = o.select(F.col("o_orderkey").alias("other"), intervals.days(F.col("d")).alias("other_start"), (intervals.days(F.col("d")) + F.col("o_custkey") % 3 * 2).alias("other_end"))
+    return intervals.overlapping(left, right).groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("first_other"), F.max("other").alias("last_other"))
+
+
+_TERMS = "(select reverse(w) as w from (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,7}')) as w from documents) order by md5(w), w limit 5000)"
+
+
+@query(P + f", t as {_TERMS}, bad as (select distinct process_number from p where exists (select 1 from t where contains(lower(content), w))) select id, process_number from p where process_number not in (select process_number from bad)")
+def exclude_many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request with 5,000 excluded terms, made from words of the documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,7})"), F.lit(1))).alias("w")).distinct()
+    terms = [r.w for r in words.orderBy(F.md5("w"), "w").limit(5000).select(F.reverse("w").alias("w")).collect()]  # the request
+    return search.without_excluded(search.matches(paragraphs(spark, sf_dir)), " ".join(terms)).select("id", "process_number")
+
+
+def _gazettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as gazette files, two of a day and source that say the same about two cases."""
+    d = table(spark, sf_dir, "documents")
+    case = lambda k: F.concat(F.lit("Processo "), F.lpad(k.cast("string"), 7, "0"), F.lit("-01.2020.8.26.0001 "))
+    text = F.concat(F.lit("kopf "), case(F.col("doc_id") % 50), F.coalesce("lang", F.lit("-")), F.lit("  "), case(F.col("doc_id") % 7), F.coalesce("source", F.lit("-")), F.lit("\n"))
+    return d.select("doc_id", F.concat(F.lit("d/"), (2019 + F.col("doc_id") % 3).cast("string"), F.lit("0131_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), text.alias("text"))
+
+
+@query("""with f as (select 2019 + doc_id % 3 as y, doc_id % 50 as a, coalesce(lang, '-') as l, doc_id % 7 as b, coalesce(source, '-') as s from documents),
+g as (select y, concat('Processo ', lpad(cast(a as varchar), 7, '0'), '-01.2020.8.26.0001 ', l) as content from f union select y, concat('Processo ', lpad(cast(b as varchar), 7, '0'), '-01.2020.8.26.0001 ', s) from f)
+select concat('legal_documents_', cast(y as varchar)) as db_id, content, count(*) as n, (select count(*) from documents) as files from g group by 1, 2""")
+def ingest_stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files through the ingest stream in three batches, the second after a restart: equal paragraphs are kept once."""
+    path, files = scratch(spark, "stream"), _gazettes(spark, sf_dir)
+    for part in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 4 == 1, F.col("doc_id") % 4 == 3):
+        files.where(part).select("file_path", "text").coalesce(1).write.mode("append").parquet(f"{path}/files")
+        source = spark.readStream.schema("file_path string, text string").option("maxFilesPerTrigger", 1).parquet(f"{path}/files")
+        ingest_files(source, f"{path}/corpus", f"{path}/ledger", f"{path}/checkpoint", f"{path}/digests").awaitTermination()
+    done = spark.read.parquet(f"{path}/ledger").agg(F.countDistinct("file_path").alias("files")).first().files
+    return ingested(spark, f"{path}/corpus").groupBy("db_id", "content").agg(F.count("*").alias("n")).withColumn("files", F.lit(done))
+
+
+@query(P + " select db_id, count(*) as n, count(distinct id) as ids, min(id) as low, max(id) as high, count(distinct md5(content)) as digests from (select row_number() over (partition by db_id order by id) - 1 as id, db_id, content from (select *, row_number() over (partition by db_id, md5(content) order by id) as r from p) where r = 1) group by 1")
+def optimized_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written corpus deduplicated, renumbered and written again, and read back."""
+    p, _ = stored_corpus(spark, sf_dir)
+    source, target = scratch(spark, "before"), scratch(spark, "after")
+    corpus.write(p.drop("content_norm"), source, "overwrite")
+    maintain.optimize(spark, source, target)
+    back = corpus.load(spark, target)
+    return back.groupBy("db_id").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").cast("long").alias("low"), F.max("id").cast("long").alias("high"), F.countDistinct(F.md5("content")).alias("digests"))
+
+
+@query(P + """ select process_number as "Process Number", concat(cast(row_number() over w as varchar),'/',cast(count(*) over (partition by process_number) as varchar)) as "Mention Count",
+cast(document_date as varchar) as "Document Date", db_id as "Database", file_path as "File Path", md5(content) as digest from p where contains(n,' worthless ') window w as (partition by process_number order by document_date desc, db_id, id)""")
+def bulk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export written in parts through the data source, and read back."""
+    path = scratch(spark, "export")
+    write_export(export_rows(search.matches(paragraphs(spark, sf_dir), "worthless")), path, "=== Search Results Summary ===\r\n")
+    return read_export(spark, path).withColumn("digest", F.md5("Content")).drop("Content")

@@ -58,10 +58,13 @@ class SegmentedIndex:
         out.write(bytearray(json.dumps(state | {"version": version}), "utf-8"))
         out.close()
 
-    def _write(self, rows: DataFrame) -> str:
-        """A segment's file folder, sorted by token; frequent tokens are spread by id."""
+    def _write(self, rows: DataFrame, merged: bool = False) -> str:
+        """A segment's folder. A batch's postings are runs that each task sorts by token; merged ones are sorted as a whole."""
         name = f"segment-{uuid.uuid4().hex}"
-        rows.select("db_id", "token", "id", "positions").repartitionByRange("token", "db_id", "id").sortWithinPartitions("token", "db_id", "id").write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        order = ("token", "db_id", "id")
+        dealt = rows.select("db_id", "token", "id", "positions")
+        dealt = dealt.repartitionByRange(*order) if merged else dealt
+        dealt.sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/{name}")
         return name
 
     def apply(self, added: DataFrame | None = None, removed: DataFrame | None = None, batch: str | None = None) -> bool:
@@ -126,7 +129,7 @@ class SegmentedIndex:
             if not full:
                 return done
             level, own = full[0]
-            merged = {"name": self._write(self._live(state, own)), "at": max(s["at"] for s in own), "level": level + 1}
+            merged = {"name": self._write(self._live(state, own), True), "at": max(s["at"] for s in own), "level": level + 1}
             state["segments"] = [s for s in state["segments"] if s not in own] + [merged]
             oldest = min(s["at"] for s in state["segments"])
             state["tombstones"] = [t for t in state["tombstones"] if t["at"] > oldest]

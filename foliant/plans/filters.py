@@ -7,9 +7,12 @@ import re
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Beyond so many excluded terms, each text is read once for all of them.
+MANY_TERMS = 16
 _TERM = re.compile(r'"[^"]*"|\S+')
 
 
@@ -52,11 +55,35 @@ def exclusion_terms(text: str | None) -> list[str]:
     return [(t[1:-1] if len(t) > 1 and t[0] == t[-1] == '"' else t).lower() for t in terms]
 
 
+def holds_term(terms: list[str], text: Column) -> Column:
+    """Whether a text holds any of many terms: one automaton passes over it once, however many there are."""
+    known = sorted(set(terms))
+
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        if "" in known:
+            return texts.notna()
+        machine = ahocorasick.Automaton()
+        for term in known:
+            machine.add_word(term, True)
+        machine.make_automaton()
+        return texts.map(lambda t: t is not None and next(machine.iter(t), None) is not None)
+
+    return holds(text)
+
+
 def holds_excluded(text: str | None, content: Column) -> Column | None:
-    """Whether a content holds any excluded term, as a part of words too; None without terms."""
+    """Whether a content holds any excluded term, as a part of words too; None without terms.
+
+    More than ``MANY_TERMS`` are looked for together, with the same answer.
+    """
     terms = exclusion_terms(text)
     if not terms:
         return None
+    if len(terms) > MANY_TERMS:
+        return F.coalesce(holds_term(terms, F.lower(content)), F.lit(False))
     return F.coalesce(reduce(or_, [F.contains(F.lower(content), F.lit(t)) for t in terms]), F.lit(False))
 
 
