@@ -1,13 +1,15 @@
 """Operator 10: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
 The benchmark is taken in blocks of bounded size (``block_words``), each of which is broadcast. Per block, a first
-pass over all documents counts how often each of the block's word n-grams, and (n-1)-grams, occurs in the corpus. Seeds are
-all n-grams of an item, so that whatever copies ``n`` words in a row has one, also where other documents hold the
-item unchanged, and those (n-1)-grams that are rare: a block's rare ones together meet a document ``fan`` times on average
-at most. A second pass finds seeds in every whole text, joins
-the passage around them to the item, and scores passage and item by local alignment of words (match 2, mismatch -1,
+pass over all documents counts how often each of the block's seeds occurs in the corpus. Seeds are ``n`` words of an item, in a row
+or with one word left out between them, so a copy in which every third word is changed still has some, whatever the
+corpus holds besides. A second pass finds seeds in every whole text and joins
+the passage around them to the item: passages with two seeds near one diagonal, or with a rare one (a block's rare ones
+meet a document ``fan`` times on average at most); any passage of ``SHORT`` words or more that reaches the threshold has two. Passage and item are scored by
+local alignment of words (match 2, mismatch -1,
 gap -1). A passage counts when its score reaches ``threshold`` of that of the item itself or, in long items, that of
-``copied`` words in a row. Items with fewer than ``n`` words count where all their words stand in a row. All of it is map-side:
+``copied`` words in a row. Items with fewer than ``SHORT`` words count with one word changed, lost or added at most, those with
+fewer than five only where all their words stand in a row. All of it is map-side:
 texts are never shuffled, and a passage that a third of all documents hold costs no task more than its own rows.
 
 Words are runs of letters and digits (and marks and underscores), lower-cased, known by 64-bit hashes. Defined cases: null and empty texts hold no words and
@@ -33,6 +35,8 @@ from .common import slices
 from .shingles import pieces, span_hashes, spans
 
 MATCH, MISMATCH, GAP = 2, -1, 1
+#: Items with fewer words are asked for nearly whole.
+SHORT = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, bool)
 _WORD[[95, *range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -55,14 +59,23 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(values)
 
 
-def _grams(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the n-grams of which all words are known (ids over 0)."""
-    if len(ids) < n:
+def patterns(n: int) -> list[tuple[int, ...]]:
+    """Places of a seed's words: ``n`` in a row, and with one left out at each place between them."""
+    return [tuple(range(n)), *(tuple(k + (k >= j) for k in range(n)) for j in range(1, n))]
+
+
+def _grams(ids: np.ndarray, places: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the seeds of which all words are known (ids over 0), in one text (ids from 0 on)."""
+    reach = places[-1] + 1
+    if len(ids) < reach:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    known = np.concatenate(([0], np.cumsum(ids > 0)))
-    at = np.flatnonzero(known[n:] - known[:-n] == n)
+    n = len(ids) - reach + 1
+    good = np.ones(n, bool)
+    for k in range(reach):
+        good &= ids[k : k + n] >= (k in places)
+    at = np.flatnonzero(good)
     key = np.zeros(len(at), np.uint64)
-    for k in range(n):
+    for k in places:
         key = (key ^ ids[at + k].astype(np.uint64)) * _MIX
         key ^= key >> np.uint64(29)
     return at, key
@@ -112,61 +125,68 @@ class Block:
         cut = np.searchsorted(owner, np.arange(len(items) + 1))
         self.words = [(place[a:b] + 1).astype(np.int32) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.grams = {k: [_grams(w, k)[1] if len(w) >= n else np.zeros(0, np.uint64) for w in self.words] for k in (n, n - 1)}
-        self.keys = np.unique(np.concatenate([*self.grams[n], *self.grams[n - 1], np.zeros(0, np.uint64)]))
+        self.patterns = patterns(n)
+        self.grams = [[_grams(w, p) if len(w) >= n else (np.zeros(0, np.int64), np.zeros(0, np.uint64)) for w in self.words] for p in self.patterns]
+        self.keys = np.unique(np.concatenate([*(key for own in self.grams for _, key in own), np.zeros(0, np.uint64)]))
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # size, hash, items
         for item, w in enumerate(self.words):
             if 0 < len(w) < n:
-                self.short[len(w)][int(_grams(w, len(w))[1][0])].append(item)
+                self.short[len(w)][int(_grams(w, tuple(range(len(w))))[1][0])].append(item)
         self.short = {size: dict(found) for size, found in self.short.items()}
         self.seed_keys = np.zeros(0, np.uint64)
 
     def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids of all texts, 0 for a word that no item has and between texts; and where each text begins, with an end."""
+        """Word ids of all texts, 0 for a word that no item has and -1 between texts; and where each text begins, with an end."""
         owner, value = words_of(texts)
-        flat = np.zeros(len(owner) + len(texts), np.int32)
+        flat = np.full(len(owner) + len(texts), -1, np.int32)
         flat[np.arange(len(owner)) + owner] = _found(self.vocabulary, value) + 1
         return flat, np.searchsorted(owner, np.arange(len(texts) + 1)) + np.arange(len(texts) + 1)
 
     def set_seeds(self, counts: np.ndarray, n_docs: int, fan: float) -> None:
-        """All n-grams that the corpus has, and its rare (n-1)-grams."""
-        smaller = np.unique(np.concatenate([*self.grams[self.n - 1], np.zeros(0, np.uint64)]))
-        most = fan * n_docs / max(1, len(smaller))
+        """All seeds that the corpus has, and which of them are rare."""
         places = defaultdict(set)
-        for size, own in self.grams.items():
-            for item, grams in enumerate(own):
-                often = counts[np.searchsorted(self.keys, grams)]
-                for k in np.flatnonzero((often > 0) & ((size == self.n) | (often <= most))).tolist():
-                    places[int(grams[k])].add((item, k))
+        for own in self.grams:
+            for item, (at, keys) in enumerate(own):
+                for k in np.flatnonzero(counts[np.searchsorted(self.keys, keys)] > 0).tolist():
+                    places[int(keys[k])].add((item, int(at[k])))
         self.seed_keys = np.array(sorted(places), np.uint64)
+        self.rare = counts[np.searchsorted(self.keys, self.seed_keys)] <= fan * n_docs / max(1, len(self.keys))
         lists = [sorted(places[int(k)]) for k in self.seed_keys]
         self.first = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
         flat = np.array([p for x in lists for p in x], np.int64).reshape(-1, 2)
         self.seed_item, self.seed_at = flat[:, 0], flat[:, 1]
 
+    def needed(self, items: np.ndarray, threshold: float, copied: int) -> np.ndarray:
+        """The score that a passage must reach for each item."""
+        size = self.sizes[items]
+        short = MATCH * size - np.where(size < 5, 0, MATCH - MISMATCH)
+        return np.where(size < SHORT, short, np.minimum(threshold * MATCH * size, MATCH * copied))
+
     def count(self, texts: pa.Array) -> np.ndarray:
-        """Indexes of the n-grams and (n-1)-grams found in texts, with repeats."""
+        """Indexes of the seeds found in texts, with repeats."""
         flat, _ = self.documents(texts)
-        k = np.concatenate([_found(self.keys, _grams(flat, size)[1]) for size in (self.n, self.n - 1)])
+        k = np.concatenate([_found(self.keys, _grams(flat, p)[1]) for p in self.patterns])
         return k[k >= 0]
 
     def passages(self, flat: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, word after the last) of every passage around seeds that lie near one diagonal of the item."""
-        both = [_grams(flat, size) for size in (self.n, self.n - 1)]
+        both = [_grams(flat, p) for p in self.patterns]
         at, k = np.concatenate([a for a, _ in both]), np.concatenate([_found(self.seed_keys, key) for _, key in both])
         at, k = at[k >= 0], k[k >= 0]
         if not len(at):
             return []
         fan = self.first[k + 1] - self.first[k]
         which = np.repeat(self.first[k], fan) + np.arange(int(fan.sum())) - np.repeat(np.cumsum(fan) - fan, fan)
-        item, at = self.seed_item[which], np.repeat(at, fan)
+        item, at, rare = self.seed_item[which], np.repeat(at, fan), np.repeat(self.rare[k], fan)
         diagonal, text = at - self.seed_at[which], np.searchsorted(starts, at, "right") - 1
         order = np.lexsort((diagonal, item, text))
-        item, diagonal, text = item[order], diagonal[order], text[order]
+        item, diagonal, text, rare = item[order], diagonal[order], text[order], rare[order]
         size = self.sizes[item]
         new = np.concatenate(([True], (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > size[1:] // 2)))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(item)) - 1
+        worth = (last > first) | np.logical_or.reduceat(rare, first) | (self.sizes[item[first]] < SHORT)
+        first, last = first[worth], last[worth]
         pad = size[first] // 4 + 4
         low = np.maximum(starts[text[first]], diagonal[first] - pad)
         high = np.minimum(starts[text[first] + 1] - 1, diagonal[last] + size[first] + pad)
@@ -196,7 +216,7 @@ class Block:
         flat, starts = self.documents(texts)
         out = []
         for size, wanted in self.short.items():
-            at, key = _grams(flat, size)
+            at, key = _grams(flat, tuple(range(size)))
             for a, items in ((a, wanted.get(h)) for a, h in zip(at.tolist(), key.tolist()) if h in wanted):
                 text = int(np.searchsorted(starts, a, "right")) - 1
                 out += [(text, item, 1.0, a - int(starts[text]), a - int(starts[text]) + size) for item in items if np.array_equal(self.words[item], flat[a : a + size])]
@@ -204,7 +224,7 @@ class Block:
         words = [(item, flat[low:high]) for _, item, low, high in found]
         best, end = self.score(words)
         full = MATCH * self.sizes[[item for _, item, _, _ in found]] if found else np.zeros(0, np.int64)
-        good = np.flatnonzero(best >= np.minimum(threshold * full, MATCH * copied))
+        good = np.flatnonzero(best >= self.needed(np.array([item for _, item, _, _ in found], np.int64), threshold, copied))
         _, back = self.score([(words[k][0], words[k][1][: end[k]]) for k in good], backwards=True)
         for k, b in zip(good.tolist(), back.tolist()):
             text, item, low, _ = found[k]

@@ -7,10 +7,11 @@ paragraph's hash says so; groups of sections, of these groups and so on end in t
 nodes under it, in order, and the root a 128-bit digest of the sections and the text. So equal roots mean equal texts, and where
 two trees differ, ``differences`` descends from sections into paragraphs and returns every range that differs.
 
-A fingerprint is the root and, for all levels that have ``NODES`` nodes or fewer, the 32-bit hashes of the level's nodes in
-order. ``likeness`` is 1 for equal roots; else it takes the finest level that both fingerprints have, and is the share of
-nodes there that two texts have in common (twice the common ones over the sum): the same as descending
-from the roots into the branches that differ.
+A fingerprint is the root, the number of distinct phrases, the ``NODES`` lowest hashes of them (all, if there are no more), and, for all
+levels over the phrases that have ``NODES`` nodes or fewer, the 32-bit hashes of the level's nodes in order. ``likeness`` is 1 for equal
+roots; else it is the share of phrases that two texts have in common (twice the common ones over the sum), from the phrases up to the
+highest hash that both fingerprints know. Texts of few phrases are so compared exactly, and longer ones within about 0.03, however long they are. Where the
+known phrases are all equal, the nodes that differ at the finest level that both have tell by how many phrases the texts differ at least.
 
 Defined cases: a null text is empty; an empty text is one empty phrase; texts of any length are read whole, in pieces; equal ids
 are ordered by text, null ids come last; a table's only document is its own next one; columns
@@ -171,16 +172,20 @@ _EMPTY_LINE = _parents(np.zeros(1, np.int64), span_hashes(np.array([10], np.uint
 
 @dataclass
 class Fingerprint:
-    """Root and, from level ``finest`` on, the 32-bit hashes of each level's nodes in order."""
+    """Root, number of distinct phrases and the lowest of their hashes, and, from level ``finest`` on, the hashes of each level's nodes in order."""
 
     root: str
+    phrases: int
+    lowest: np.ndarray
     finest: int
     levels: list[np.ndarray]
 
 
 def fingerprint(tree: Tree) -> Fingerprint:
-    finest = next((k for k, x in enumerate(tree.levels) if len(x) <= NODES), LEVELS)
-    return Fingerprint(tree.root, finest, [(x >> np.uint64(32)).astype(np.uint32) for x in tree.levels[finest:]])
+    short = [(x >> np.uint64(32)).astype(np.uint32) for x in tree.levels]
+    phrases = np.unique(short[PHRASES])
+    finest = next((k for k, x in enumerate(short) if k > PHRASES and len(x) <= NODES), LEVELS)
+    return Fingerprint(tree.root, len(phrases), phrases[:NODES], finest, short[finest:])
 
 
 def fingerprints(texts: list[bytes]) -> list[Fingerprint]:
@@ -188,26 +193,33 @@ def fingerprints(texts: list[bytes]) -> list[Fingerprint]:
 
 
 def as_string(mark: Fingerprint) -> str:
-    """Root in hexadecimal, and the levels in base 64."""
-    return ":".join((mark.root, str(mark.finest), *(base64.b64encode(x.astype("<u4").tobytes()).decode() for x in mark.levels)))
+    """Root in hexadecimal, numbers, and the hashes in base 64."""
+    coded = (base64.b64encode(x.astype("<u4").tobytes()).decode() for x in (mark.lowest, *mark.levels))
+    return ":".join((mark.root, str(mark.phrases), str(mark.finest), *coded))
 
 
 def from_string(text: str) -> Fingerprint:
-    root, finest, *levels = text.split(":")
-    return Fingerprint(root, int(finest), [np.frombuffer(base64.b64decode(x), "<u4") for x in levels])
+    root, phrases, finest, *coded = text.split(":")
+    lowest, *levels = (np.frombuffer(base64.b64decode(x), "<u4") for x in coded)
+    return Fingerprint(root, int(phrases), lowest, int(finest), levels)
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """Likeness of two fingerprints, 0 to 1; below 1 for different texts."""
     if a.root == b.root:
         return 1.0
+    known = min((int(x.lowest[-1]) for x in (a, b) if x.phrases > len(x.lowest)), default=1 << 32)
+    both = np.concatenate([x.lowest[: np.searchsorted(x.lowest, known, "right")] for x in (a, b)])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    if 2 * common < len(both):
+        return 2 * common / len(both)
     level = max(a.finest, b.finest)
     if level >= LEVELS:
-        return 0.0
+        return 1 - 1e-9
     x, y = np.unique(a.levels[level - a.finest]), np.unique(b.levels[level - b.finest])
-    both = np.concatenate((x, y))
-    both.sort()
-    return min(2 * int((both[1:] == both[:-1]).sum()) / len(both), 1 - 1e-9)
+    apart = len(np.setxor1d(x, y, assume_unique=True))
+    return min(1 - apart / max(1, a.phrases + b.phrases), 1 - 1e-9)
 
 
 def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

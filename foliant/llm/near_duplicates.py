@@ -122,17 +122,17 @@ def _components(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links; ``texts`` has (node, grams) with the shingle hashes as bytes."""
+    """The pairs (a, b) that are links, with their similarity; ``texts`` has (node, grams) with the shingle hashes as bytes."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("grams").alias(f"{x}_grams"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_grams", "b_grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             x, y = (batch.column(k).to_pylist() for k in (2, 3))
-            good = [in_order_similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), LEAST) >= LEAST for p, q in zip(x, y)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            alike = np.array([in_order_similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), LEAST) for p, q in zip(x, y)], np.float64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(alike)], names=["a", "b", "similarity"]).filter(pa.array(alike >= LEAST))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
@@ -198,9 +198,11 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, node (digest of its text), class_id (smallest id of its class), and kept.
+    """One row per document: id, node (digest of its text), class_id (smallest id of its class), kept, and its links.
 
-    ``kept`` is true for the document that gives its class the name; of rows equal in id and text for all of them.
+    ``kept`` is true for the document that gives its class the name; of rows equal in id and text for all of them. ``n_links`` is the number of
+    other texts that were found to be links of this one, ``linked_id`` the smallest id of the most similar of these and ``similarity`` theirs (null
+    without links). Links within a class that is known already aren't sought, so there may be more.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     hashed = source.select("id", _node(F.col("text")).alias("node"), "text")
@@ -242,6 +244,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     star = members.join(centre, "bucket").where(F.col("node") != F.col("centre")).where(alike).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
     tried = stored(star.groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b"), "pairs")
     found, classes = stored(_verified(tried, texts), "links"), involved.select("node", F.col("node").alias("class"))
+    links = found
     for turn in range(2):
         classes = _components(classes, found)
         placed = members.join(_small(classes, 64), "node")
@@ -256,6 +259,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         more = large.join(second, "bucket").where("class != its").where(alike).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         fresh = stored(pairs.unionAll(more).groupBy("a", "b").agg(F.count("*").alias("n")).select("a", "b").join(_small(tried, 64), ["a", "b"], "left_anti"), "pairs")
         found = stored(_verified(fresh, texts), "links")
+        links = links.unionAll(found)
         tried = tried.unionAll(fresh)
         if found.isEmpty() and large.where(F.col("size") > DRAWN).isEmpty():
             break
@@ -267,12 +271,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         left = stored(placed.join(opened, "bucket").groupBy("node").agg(*(F.first(c).alias(c) for c in ("class", "shingles", "map"))), "left-nodes")
         if not left.isEmpty():
             fresh = stored(_prefix_pairs(left, texts).join(_small(tried, 64), ["a", "b"], "left_anti"), "pairs")
-            classes = _components(classes, stored(_verified(fresh, texts), "links"))
+            found = stored(_verified(fresh, texts), "links")
+            links = links.unionAll(found)
+            classes = _components(classes, found)
     named = nodes.join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "first")
     names = named.groupBy("class").agg(F.min("first").alias("class_id"), F.min(F.struct(F.col("first").isNull(), "first", "node")).alias("keeper")).select("class", "class_id", F.col("keeper.node").alias("keeper"))
-    result = named.join(names, "class").select("node", "class_id", "keeper", "first")
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("end"), "similarity").select("end.node", "end.other", "similarity")
+    partners = ends.join(_small(one_each.select(F.col("node").alias("other"), F.col("id").alias("other_id")), 48), "other")
+    linked = partners.groupBy("node").agg(F.count("*").alias("n_links"), F.min(F.struct((-F.col("similarity")).alias("far"), "other_id")).alias("best"))
+    result = named.join(names, "class").select("node", "class_id", "keeper", "first").join(linked, "node", "left")
     out = sketched.select("id", "node").join(result, "node")
-    return out.select(F.col("id").alias(id_col), "node", "class_id", ((F.col("node") == F.col("keeper")) & F.col("id").eqNullSafe(F.col("first"))).alias("kept"))
+    kept = (F.col("node") == F.col("keeper")) & F.col("id").eqNullSafe(F.col("first"))
+    return out.select(F.col("id").alias(id_col), "node", "class_id", kept.alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.other_id").alias("linked_id"), (-F.col("best.far")).alias("similarity"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept", "n_links", "linked_id", "similarity")
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

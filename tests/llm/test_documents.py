@@ -224,8 +224,10 @@ def test_pipeline(spark, odd, none, tmp_path):
         assert p.run(spark, str(tmp_path)).count() >= 0
 
 
+@pytest.mark.parametrize("often", [0, 400])
 @pytest.mark.parametrize("every", [7, 6, 5, 4, 3])
-def test_edited_copy_beside_exact_copies(every):
+def test_edited_copy_beside_exact_copies(every, often):
+    """Also where the corpus is full of the item's words and word pairs."""
     import inspect
 
     import pyarrow as pa
@@ -233,15 +235,29 @@ def test_edited_copy_beside_exact_copies(every):
     from foliant.llm.decontaminate import Block
 
     p = {k: v.default for k, v in inspect.signature(contaminated).parameters.items()}
-    rng = random.Random(31)
+    rng, found = random.Random(31), 0
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
-    item = [word() for _ in range(40)]
-    edited = [word() if k % every == every - 1 else w for k, w in enumerate(item)]
-    texts = pa.array([" ".join([word(), *t, word()]) for t in (item, item, edited)])
-    block = Block([(0, " ".join(item))], p["n"])
-    counts = np.bincount(block.count(texts), minlength=len(block.keys))
-    block.set_seeds(counts, 1000, p["fan"])
-    assert {h[0] for h in block.hits(texts, p["threshold"], p["copied"])} == {0, 1, 2}
+    for _ in range(20):
+        item = [word() for _ in range(40)]
+        edited = [word() if k % every == every - 1 else w for k, w in enumerate(item)]
+        others = [[w for k in rng.sample(range(39), 8) for w in (*item[k : k + 2], word(), word())] for _ in range(often)]
+        texts = pa.array([" ".join([word(), *t, word()]) for t in (item, item, edited, *others)])
+        block = Block([(0, " ".join(item))], p["n"])
+        counts = np.bincount(block.count(texts), minlength=len(block.keys))
+        block.set_seeds(counts, len(texts), p["fan"])
+        hits = {h[0] for h in block.hits(texts, p["threshold"], p["copied"])}
+        assert hits >= {0, 1} and not hits & set(range(3, len(texts)))
+        found += 2 in hits
+    assert found >= 18
+
+
+def test_short_items_are_asked_for_nearly_whole(spark):
+    items = [(0, "alpha beta gamma delta"), (1, "what is two"), (2, "one two three four five six"), (3, "Eins zwei drei vier fünf sechs sieben")]
+    docs = ["x y alpha beta q r", "alpha beta gamma", "says what is new", "what is, two?", "so alpha beta gamma delta", "one two three xx five six", "one two three four xx xx", "a one two three five six", "eins zwei drei vier", "eins zwei drei und vier fünf sechs sieben", "four five six"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(3, 1), (4, 0), (5, 2), (7, 2), (9, 3)]
+    assert clean_documents(frame, spark.createDataFrame(items, "item_id long, text string")).count() == len(docs) - 5
 
 
 def test_decontamination_like_all_pairs(spark):
@@ -388,13 +404,39 @@ def test_trees_and_likeness_like_plain_loops():
         assert [x.tolist() for x in tree.levels] == levels and tree.root == root
         marks.append(merkle.fingerprint(tree))
         again = merkle.from_string(merkle.as_string(marks[-1]))
-        assert again.root == root and again.finest == marks[-1].finest and all(np.array_equal(x, y) for x, y in zip(again.levels, marks[-1].levels))
+        assert (again.root, again.phrases, again.finest) == (root, marks[-1].phrases, marks[-1].finest) and all(np.array_equal(x, y) for x, y in zip((again.lowest, *again.levels), (marks[-1].lowest, *marks[-1].levels)))
     for i, x in enumerate(texts):
         for j, y in enumerate(texts):
-            level = next(k for k in range(8) if len(found[i].levels[k]) <= merkle.NODES and len(found[j].levels[k]) <= merkle.NODES)
-            a, b = ({int(v) >> 32 for v in found[n].levels[level]} for n in (i, j))
-            want = 1.0 if x == y else min(2 * len(a & b) / (len(a) + len(b)), 1 - 1e-9)
-            assert merkle.likeness(marks[i], marks[j]) == pytest.approx(want) and (merkle.likeness(marks[i], marks[j]) == 1.0) == (x == y)
+            a, b = ({int(v) >> 32 for v in found[n].levels[0]} for n in (i, j))
+            want, got = 2 * len(a & b) / (len(a) + len(b)), merkle.likeness(marks[i], marks[j])
+            exact = max(len(a), len(b)) <= merkle.NODES and a != b
+            assert got == pytest.approx(want) if exact else abs(got - want) < 0.1
+            assert (got == 1.0) == (x == y)
+
+
+@pytest.mark.parametrize("kind", ["word a line", "one word", "a third"])
+def test_likeness_is_steady_in_length(kind):
+    """The same kind of edit gets the same answer on both sides of the number of phrases that a fingerprint holds."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    got = []
+    for n in (20, 60, 100, 130, 160, 250, 400, 1500):
+        lines = [[word() for _ in range(9)] for _ in range(n)]
+        edited = [list(x) for x in lines]
+        if kind == "word a line":
+            for x in edited:
+                x[4] = word()
+        elif kind == "one word":
+            edited[n // 2][4] = word()
+        else:
+            edited[n - n // 3 :] = [[word() for _ in range(9)] for _ in range(n // 3)]
+        x, y = (["\n".join(" ".join(w) for w in t).encode()] for t in (lines, edited))
+        (a,), (b,) = merkle.trees(x), merkle.trees(y)
+        p, q = set(a.levels[0].tolist()), set(b.levels[0].tolist())
+        found = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+        assert found < 1 and abs(found - 2 * len(p & q) / (len(p) + len(q))) < 0.06
+        got.append(found)
+    assert max(got) - min(got) < 0.12 and (kind != "one word" or min(got) > 0.97 or got[0] > 0.9)
 
 
 def test_differences_lists_every_range():

@@ -251,3 +251,18 @@ def test_recall_of_links_between_0_8_and_0_95(spark):
     linked = sum(found[2 * i] == found[2 * i + 1] for i in want)
     assert len(want) > 150 and linked >= 0.9 * len(want)
     assert all(found[2 * i] != found[2 * i + 1] for i in range(600) if similarity(grams[2 * i], grams[2 * i + 1]) < 0.8)
+
+
+def test_links_are_counted(spark):
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    near = lambda k: " ".join([*base[:k], "changed", *base[k + 1 :]])
+    rows = [(0, " ".join(base)), (1, near(50)), (2, near(20)), (3, "something else that nobody else has written so far"), (4, " ".join(base)), (5, None)]
+    found = {r.doc_id: r for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[k].class_id for k in range(6)] == [0, 0, 0, 3, 0, 5]
+    assert found[3].n_links == found[5].n_links == 0 and found[3].linked_id is None and found[5].similarity is None
+    assert all(found[k].n_links >= 1 and 0.8 <= found[k].similarity < 1 for k in (0, 1, 2, 4)) and found[0].n_links == found[4].n_links
+    assert sum(found[k].n_links for k in (0, 1, 2)) >= 4 and found[1].linked_id in (0, 2) and found[2].linked_id in (0, 1)
+    grams = [set(zip(*(t.split()[k:] for k in range(5)))) for t in (rows[0][1], rows[1][1])]
+    if found[1].linked_id == 0:
+        assert found[1].similarity == pytest.approx(len(grams[0] & grams[1]) / len(grams[0] | grams[1]))
