@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import corpus, distincts, intervals, maintain, search
+from .operators import corpus, distincts, extract, intervals, maintain, search
 from .operators.index import IndexSearch
 from .operators.maintain import document_frequency
 from .operators.pages import PageIndex, newest_cases, page_after
@@ -211,3 +211,28 @@ def bulk_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "export")
     write_export(export_rows(search.matches(paragraphs(spark, sf_dir), "worthless")), path, "=== Search Results Summary ===\r\n")
     return read_export(spark, path).withColumn("digest", F.md5("Content")).drop("Content")
+
+
+_RECORDS = "with r as (select lpad(cast(o_orderkey as varchar), 9, '0') as number, case when o_orderkey % 7 = 0 then ' ' else concat('R$ ', replace(printf('%.2f', o_totalprice), '.', ',')) end as value, case when o_orderkey % 5 = 0 then '' when o_orderkey % 2 = 0 then upper(o_orderpriority) else o_orderpriority end as class_type from orders)"
+
+
+@query(_RECORDS + """, k as (select number, try_cast(replace(regexp_replace(value, '[^0-9,]', '', 'g'), ',', '.') as double) as v, nullif(lower(class_type), '') as t from r)
+select 'value up' as sorted, number, row_number() over (order by v asc nulls last, number) as place from k union all select 'value down', number, row_number() over (order by v desc nulls last, number) from k
+union all select 'class up', number, row_number() over (order by t asc nulls last, number) from k""")
+def records_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all records by amount, both ways, and by a text."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    value = F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("R$ "), F.replace(F.format_string("%.2f", F.col("o_totalprice")), F.lit("."), F.lit(","))))
+    kind = F.when(k % 5 == 0, "").when(k % 2 == 0, F.upper("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    rows = o.select(F.lpad(k.cast("string"), 9, "0").alias("number"), value.alias("value"), kind.alias("class_type"))
+    parts = [extract.placed_records(rows, c, down).select(F.lit(name).alias("sorted"), "number", "place") for name, c, down in (("value up", "value", False), ("value down", "value", True), ("class up", "class_type", False))]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query(P + " select db_id, count(distinct md5(content)) as n_rows, 0.0 as failed from p group by 1")
+def optimized_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shard of a written corpus optimized by itself, and read back."""
+    source, target = scratch(spark, "before"), scratch(spark, "after")
+    corpus.write(paragraphs(spark, sf_dir).select(*PARAGRAPHS.names), source, "overwrite")
+    told = spark.createDataFrame([(r["db_id"], float(r["error"] is not None)) for r in maintain.optimize_shards(spark, source, target)], "db_id string, failed double")  # a row per shard
+    return corpus.load(spark, target).groupBy("db_id").agg(F.count("*").alias("n_rows")).join(F.broadcast(told), "db_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.html import page_fields
 from ..functions.text import currency, is_case_number
 from ..schema import RECORD_FIELDS, SEALED_TEXT
+from .ordered import ordinals
 
 #: Words in a page (or an error message) that tell what went wrong, tested in this order.
 PAGE_ERRORS = (
@@ -93,9 +94,20 @@ def error_histogram(results: DataFrame) -> DataFrame:
     return results.where("error_type is not null").groupBy("error_type").agg(F.count("*").alias("n")).orderBy("error_type")
 
 
-def sorted_records(results: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Records by one column as a table shows them: amounts by value, texts whatever their case, empty ones last."""
+def _sort_key(column: str) -> Column:
     from ..functions.text import currency_value
 
-    key = currency_value(F.col(column)) if column == "value" else F.col(column) if column == "other_processes" else F.nullif(F.lower(column), F.lit(""))
+    return currency_value(F.col(column)) if column == "value" else F.col(column) if column == "other_processes" else F.nullif(F.lower(column), F.lit(""))
+
+
+def sorted_records(results: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Records by one column as a table shows them: amounts by value, texts whatever their case, empty ones last."""
+    key = _sort_key(column)
     return results.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "number")
+
+
+def placed_records(results: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """The same with every record's ``place`` from 1, so any page of the table is a range of places."""
+    keyed = results.withColumn("_key", _sort_key(column))
+    by = F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_last()
+    return ordinals(keyed, [by, F.col("number").asc_nulls_first()], "place").withColumn("place", F.col("place") + 1).drop("_key")

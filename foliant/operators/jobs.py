@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CASE_RECORDS
+from ..sinks.export_source import write_export
 from .extract import error_histogram, in_input_order, message_error, outcome, records, remaining
 from .ordered import ordinals
 
@@ -50,16 +51,22 @@ class Job:
     done: int = 0
     error: str | None = None
     seconds: list[float] = field(default_factory=list)
+    snapshots: list[str] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
 
     def snapshot(self) -> dict:
         return {"job_id": self.id, "status": self.status, "done": self.done, "total": self.total, "percent": percent(self.done, self.total), "error": self.error}
 
 
 class JobRegistry:
-    """Jobs of one driver; results of each batch are appended to the job's Parquet table."""
+    """Jobs of one driver; results of each batch are appended to the job's Parquet table.
 
-    def __init__(self, spark: SparkSession, folder: str, fetch: Fetch, batch_size: int = 50):
-        self.spark, self.folder, self.fetch, self.batch_size = spark, folder.rstrip("/"), fetch, batch_size
+    With ``snapshot_every``, all records so far are exported after every so many batches, in the order of the numbers; a snapshot that
+    fails is told in the job's ``notes`` and ends nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, fetch: Fetch, batch_size: int = 50, snapshot_every: int | None = None):
+        self.spark, self.folder, self.fetch, self.batch_size, self.snapshot_every = spark, folder.rstrip("/"), fetch, batch_size, snapshot_every
         self.jobs: dict[str, Job] = {}
         self.lock = threading.Lock()
 
@@ -94,10 +101,22 @@ class JobRegistry:
                 with self.lock:
                     job.done += sum(times[n] for n in part)
                     job.seconds.append(time.monotonic() - began)
+                if self.snapshot_every and len(job.seconds) % self.snapshot_every == 0:
+                    self._snapshot(job, distinct[: at + len(part)])
             job.status = "done"
         except Exception as e:
             job.status, job.error = "error", str(e)[:500]
 
+    def _snapshot(self, job: Job, numbers: list[str]) -> None:
+        """Export what there is, as a folder that appears when it is whole."""
+        path = f"{job.path}-snapshots/{len(numbers):09d}"
+        try:
+            asked = self.spark.createDataFrame(list(enumerate(numbers)), "ordinal long, number string")
+            write_export(in_input_order(asked, self.spark.read.parquet(job.path)).drop("ordinal"), path, overwrite=True)
+            job.snapshots.append(path)
+        except Exception as e:
+            job.notes.append(str(e)[:500])
+
     def _one_by_one(self, job: Job, part: list[str]) -> None:
         """A batch that failed: each number by itself, and a record of what went wrong for those that fail again."""
         for number in part:

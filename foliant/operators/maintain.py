@@ -69,10 +69,11 @@ def postings(paragraphs: DataFrame) -> DataFrame:
 def write_postings(paragraphs: DataFrame, path: str) -> None:
     """The inverted index in runs: each task sorts the postings of its own rows by token, and nothing is shuffled.
 
-    A search reads of each run the pages whose first and last token fit, so small row groups and sorted tokens are what counts.
+    A search reads of each run the pages whose first and last token fit, so small row groups and sorted tokens are what counts. A stored
+    corpus is read by shards, so the runs' statistics tell shards apart, too.
     """
-    runs = postings(paragraphs).sortWithinPartitions("db_id", "token", "id")
-    runs.write.mode("overwrite").partitionBy("db_id").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    runs = postings(paragraphs).sortWithinPartitions("token", "id")
+    runs.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def document_frequency(index: DataFrame) -> DataFrame:

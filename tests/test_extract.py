@@ -109,3 +109,20 @@ def test_one_failing_fetch_leaves_the_others(spark, tmp_path):
     rows = registry.results(job, asked).collect()
     assert [r.class_type for r in rows] == ["Execução Fiscal", None, "Execução Fiscal"]
     assert rows[1].error.startswith("Worker error: ") and rows[1].error_type == "browser_error"
+
+
+def test_snapshots_of_a_long_extraction(spark, tmp_path):
+    from foliant.sinks.export_source import read_export
+
+    registry = jobs.JobRegistry(spark, str(tmp_path), lambda numbers: numbers.withColumn("html", F.lit(PAGE)), batch_size=1, snapshot_every=2)
+    asked = [f"000000{k}-01.2020.8.26.0001" for k in (3, 1, 2, 3, 5)]
+    job = registry.jobs[registry.start(asked, 1, wait=True)]
+    assert job.status == "done" and job.done == 5 and not job.notes and len(job.snapshots) == 2
+    assert [sorted(r.number for r in read_export(spark, path).collect()) for path in job.snapshots] == [sorted(asked[:2]), sorted(set(asked))]
+
+
+def test_places_of_records(spark):
+    rows = spark.createDataFrame([("1", "R$ 10,50", "b"), ("2", None, ""), ("3", "R$ 9", "A"), ("4", "R$ 10,50", None)], "number string, value string, class_type string")
+    placed = lambda *a: [r.number for r in extract.placed_records(rows, *a).orderBy("place").collect()]
+    assert placed("value") == ["3", "1", "4", "2"] and placed("value", True) == ["1", "4", "3", "2"] and placed("class_type") == ["3", "1", "2", "4"]
+    assert [r.number for r in extract.sorted_records(rows, "value", True).collect()] == placed("value", True)
