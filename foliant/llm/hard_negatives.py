@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from ..storage import BROADCAST_BYTES
+from .common import stored
 
 SAMPLE, LEAVES, BLOCK, ANCHORS = 8192, 256, 2048, 512
 _BLOCKS = "leaf int, chunk int, n int, reach double, ids binary, labels binary, vectors binary, width int, places binary"
@@ -76,8 +77,7 @@ def fit_tree(sample: np.ndarray, depth: int) -> Tree:
         tree.centres[node] = own.mean(0) if len(own) else tree.centres[node // 2]
         if node < 1 << depth:
             if len(own) > 1:
-                _, axes = np.linalg.eigh(np.cov(own - tree.centres[node], rowvar=False).reshape(width, width))
-                tree.directions[node] = axes[:, -1]
+                tree.directions[node] = _widest(own - tree.centres[node])
             along = own @ tree.directions[node]
             tree.borders[node] = np.median(along) if len(own) else 0.0
             above = along > tree.borders[node]
@@ -85,6 +85,17 @@ def fit_tree(sample: np.ndarray, depth: int) -> Tree:
     return tree
 
 
+def _widest(rows: np.ndarray, steps: int = 25) -> np.ndarray:
+    """About the direction in which centred rows vary most, by power iteration from the row farthest out."""
+    axis = rows[np.argmax((rows**2).sum(1))]
+    for _ in range(steps):
+        length = np.linalg.norm(axis)
+        if length == 0:
+            return axis
+        axis = rows.T @ (rows @ (axis / length))
+    return axis / max(np.linalg.norm(axis), np.finfo(np.float64).tiny)
+
+
 def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
     """Rows of equal width, shorter vectors filled with zeros."""
     size = np.diff(np.asarray(vectors.offsets))
@@ -220,7 +231,9 @@ def _scored(asks: DataFrame, blocks: DataFrame, pairs: tuple[np.ndarray, np.ndar
     listed = spark.createDataFrame(pa.table({"leaf": pa.array(pairs[0], pa.int32()), "c_leaf": pa.array(pairs[1], pa.int32())}))  # LEAVES**2 rows at most
     own = asks.select("leaf", "chunk", *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "vectors", "width")], "wants")
     theirs = blocks.select(F.col("leaf").alias("c_leaf"), *[F.col(c).alias(f"c_{c}") for c in ("ids", "labels", "vectors", "width")])
-    met = theirs.join(F.broadcast(listed), "c_leaf").join(small(own, ANCHORS * 400), "leaf")
+    a_block = F.length("a_ids") + F.length("a_labels") + F.length("a_vectors") + 64 * F.size("wants")
+    size = own.agg(F.coalesce(F.sum(a_block), F.lit(0)).alias("n")).first().n
+    met = theirs.join(F.broadcast(listed), "c_leaf").join(F.broadcast(own) if size <= BROADCAST_BYTES else own, "leaf")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
