@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import corpus, search
+from .operators.index import IndexSearch
 from .operators.jobs import JobRegistry
 from .plans.filters import parse_date
 from .schema import DEADLINE_SECONDS, MAX_PAGE_SIZE, PAGE_SIZE
@@ -28,7 +29,8 @@ def _problem(status: int, text: str) -> Answer:
 class Service:
     """Requests over one corpus."""
 
-    def __init__(self, paragraphs: DataFrame, jobs: JobRegistry | None = None, key: str | None = None, deadline: float | None = DEADLINE_SECONDS):
+    def __init__(self, paragraphs: DataFrame, jobs: JobRegistry | None = None, key: str | None = None, deadline: float | None = DEADLINE_SECONDS, index: IndexSearch | None = None):
+        self.index = index
         self.paragraphs, self.shards, self.jobs, self.key, self.deadline = paragraphs, corpus.manifest(paragraphs).persist(), jobs, key, deadline
 
     def refused(self, headers: Mapping[str, str]) -> Answer | None:
@@ -46,7 +48,7 @@ class Service:
         if page < 1 or not 1 <= size <= MAX_PAGE_SIZE:
             return _problem(422, f"page from 1, page_size from 1 to {MAX_PAGE_SIZE}")
         values = dict(keywords=asked.get("keywords"), process_number=asked.get("process_number"), start=start.isoformat() if start else None, end=end.isoformat() if end else None, exclusion=asked.get("exclusion_terms"))
-        return search.search(self.paragraphs, **values, page=page, page_size=size, shards=self.shards, deadline_seconds=self.deadline, on_error="empty")
+        return search.search(self.paragraphs, **values, page=page, page_size=size, shards=self.shards, deadline_seconds=self.deadline, on_error="empty", index=self.index)
 
     def search(self, headers: Mapping[str, str], asked: Mapping[str, str]) -> Answer:
         page = self.refused(headers) or self._page(asked)

@@ -61,6 +61,17 @@ def index_and_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _searched('(disgusting OR pathetic) AND the NOT scum OR "of the and"')(spark, sf_dir)
 
 
+@query(P + """, m as (select * from p where contains(n,' of the ') and document_date >= date '2020-01-01'),
+k as (select process_number, count(*) as mention_count, max(document_date) as last_date from m group by 1 having not bool_or(contains(lower(content),'worthless')) order by 3 desc, 1 limit 25)
+select process_number, mention_count, last_date, (select count(*) from (select process_number from m group by 1 having not bool_or(contains(lower(content),'worthless')))) as total from k""")
+def index_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole search request with the index: keywords, dates, exclusion and a page."""
+    p, index = stored_corpus(spark, sf_dir)
+    page = search.search(p, '"of the"', start="2020-01-01", exclusion="worthless", page_size=25, shards=corpus.manifest(p), index=IndexSearch(index, side_tables(spark, sf_dir)[0]))
+    cases = page.results.where("part = 0")
+    return cases.select("process_number", F.col("mention_count").cast("long").alias("mention_count"), F.array_max("mentions.document_date").alias("last_date"), F.lit(page.total_processes).cast("long").alias("total"))
+
+
 _CHANGED = """with raw as (select doc_id as id, lang, source, text from documents), b as (select id, case when id % 17 = 0 then concat('changed ', coalesce(lang, ''), ' ', coalesce(source, '')) else text end as content from raw where id % 13 <> 0),
 n as (select id, ' '||trim(regexp_replace(strip_accents(lower(content)),'[^\\p{L}\\p{N}]+',' ','g'))||' ' as n from b), t as (select distinct id, unnest(string_split(trim(n),' ')) as token from n)"""
 

@@ -16,7 +16,7 @@ from ..plans.keywords import QuerySyntaxError, keyword_filter
 from ..schema import MAX_PAGE_SIZE, PAGE_SIZE
 from ..storage import stored
 from .corpus import pruned
-from .index import met
+from .index import IndexSearch, met
 from .ordered import places
 
 #: Mentions of a case in one row of a nested result.
@@ -35,10 +35,11 @@ def one_of(column: str, values: list) -> Column:
     return F.coalesce(known, F.lit(False)) | F.col(column).isNull() if None in values else known
 
 
-def matches(paragraphs: DataFrame, keywords: str | None = None, process_number: str | None = None, start: str | None = None, end: str | None = None, shards: DataFrame | None = None, on_error: str = "raise") -> DataFrame:
+def matches(paragraphs: DataFrame, keywords: str | None = None, process_number: str | None = None, start: str | None = None, end: str | None = None, shards: DataFrame | None = None, on_error: str = "raise", index: IndexSearch | None = None) -> DataFrame:
     """Mentions that fit all given conditions; none given keeps all.
 
-    With ``shards`` (the manifest), only partitions that the dates touch are read. A keyword query outside of the
+    With ``shards`` (the manifest), only partitions that the dates touch are read; with ``index``, keywords are looked up
+    there and no text is read for them. A keyword query outside of the
     language raises, or with ``on_error='empty'`` matches nothing.
     """
     corpus = pruned(paragraphs, shards, start, end) if shards is not None else paragraphs
@@ -48,7 +49,10 @@ def matches(paragraphs: DataFrame, keywords: str | None = None, process_number:
     if keywords and keywords.strip():
         norm = F.col("content_norm") if "content_norm" in corpus.columns else normalized(F.col("content"))
         try:
-            tests.append(keyword_filter(keywords, norm))
+            if index is not None:
+                corpus = index.matches(corpus, keywords)
+            else:
+                tests.append(keyword_filter(keywords, norm))
         except QuerySyntaxError:
             if on_error != "empty":
                 raise
@@ -151,16 +155,16 @@ class SearchPage:
     truncated: bool = False
 
 
-def search(paragraphs: DataFrame, keywords: str | None = None, process_number: str | None = None, start: str | None = None, end: str | None = None, exclusion: str | None = None, page: int = 1, page_size: int | None = PAGE_SIZE, shards: DataFrame | None = None, deadline_seconds: float | None = None, on_error: str = "raise") -> SearchPage:
+def search(paragraphs: DataFrame, keywords: str | None = None, process_number: str | None = None, start: str | None = None, end: str | None = None, exclusion: str | None = None, page: int = 1, page_size: int | None = PAGE_SIZE, shards: DataFrame | None = None, deadline_seconds: float | None = None, on_error: str = "raise", index: IndexSearch | None = None) -> SearchPage:
     """Search, exclude, order and page.
 
     Keys are paged before contents are fetched. With a deadline, shards are searched as jobs of their own, and those that
     don't end in time are left out and the page marked as truncated.
     """
-    found = matches(paragraphs, keywords, process_number, start, end, shards, on_error)
+    conditions = dict(keywords=keywords, process_number=process_number, start=start, end=end, shards=shards, on_error=on_error, index=index)
+    found = matches(paragraphs, **conditions)
     truncated = False
     if deadline_seconds is not None:
-        conditions = dict(keywords=keywords, process_number=process_number, start=start, end=end, shards=shards, on_error=on_error)
         seen, done, truncated = _shards_in_time(paragraphs, conditions, exclusion, deadline_seconds)
         found = met(matches(paragraphs.where(one_of("db_id", done)), **conditions), seen)
         per_case = seen.groupBy("process_number").agg(F.count("*").alias("mention_count"), F.max("document_date").alias("last_date"), F.bool_or("bad").alias("bad"))

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_literal
 
-#: What changes on the way from a user's words to the language: operators that stand alone, two signs, spaces; not what is quoted.
-_REWRITTEN = re.compile(r'(?P<quoted>"[^"]*")|(?P<operator>(?<!\S)(?:and|or|not)(?!\S))|(?P<sign>[\\^])|(?P<space>\s+)', re.I)
+#: What changes on the way from a user's words to the language: operators that stand alone, and spaces; not what is quoted.
+_REWRITTEN = re.compile(r'(?P<quoted>"[^"]*")|(?P<operator>(?<!\S)(?:and|or|not)(?!\S))|(?P<space>\s+)', re.I)
 _LEXEME = re.compile(r'\s*(?:("(?:[^"]|"")*")|([0-9A-Za-z_\x1a\x80-\U0010ffff]+)|([()*+:,{}]))')
 _TOKENS = re.compile(r"[^\W_]+")
 
@@ -65,11 +65,11 @@ class Nothing:
 
 
 def sanitize(query: str) -> str:
-    """Operators in upper case; backslashes and carets outside of quotes escaped; parts apart by one space."""
+    """Operators in upper case, parts apart by one space."""
 
     def rewritten(found: re.Match) -> str:
         kind, text = found.lastgroup, found[0]
-        return {"quoted": text, "operator": text.upper(), "sign": "\\" + text, "space": " "}[kind]
+        return {"quoted": text, "operator": text.upper(), "space": " "}[kind]
 
     return _REWRITTEN.sub(rewritten, query).strip()
 

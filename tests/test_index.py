@@ -59,6 +59,14 @@ def test_the_index_answers_like_a_scan(stored_index, words):
     assert not any("content" in x for x in re.findall(r"ReadSchema: .*", plan))
 
 
+def test_a_request_with_the_index(stored_index):
+    p, index, dictionary, *_ = stored_index
+    asked = dict(keywords='"der die" NOT x1', start="2020-06-01", exclusion="hopeless", page_size=10, shards=corpus.manifest(p))
+    plain, looked_up = search.search(p, **asked), search.search(p, **asked, index=IndexSearch(index, dictionary))
+    assert plain.total_processes == looked_up.total_processes > 0 and [r.asDict(True) for r in plain.results.collect()] == [r.asDict(True) for r in looked_up.results.collect()]
+    assert search.search(p, "(der", on_error="empty", index=IndexSearch(index, dictionary)).total_processes == 0
+
+
 def test_prefixes_are_ranges_of_tokens(stored_index):
     _, index, dictionary, *_ = stored_index
     plan = index.where(F.startswith("token", F.lit("su")))._jdf.queryExecution().executedPlan().toString()
