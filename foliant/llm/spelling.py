@@ -23,6 +23,7 @@ each; columns besides the id and the text are ignored; an empty table gives an e
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
@@ -252,7 +253,7 @@ def neighbours(table: DataFrame, backwards: bool) -> DataFrame:
             end += 1
         low, high = listed[k]["first"], listed[end - 1]["last"]
         batch = table.where(F.col("first").between(low, listed[end - 1]["first"])).orderBy("first").toArrow()  # BROADCAST bytes at most
-        shared = spark.sparkContext.broadcast([tuple(r.values()) for r in batch.to_pylist()])
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r.values()) for r in batch.to_pylist()]))
         meets = (F.substring("first", 1, 3) <= high[:3]) & (F.substring("last", 1, 3) >= low[:3])  # halves have 3 letters at least
         found = table.where(meets).repartition(len(listed)).mapInArrow(_walk(shared, backwards), "word string, n_near long, best_n long, best string")
         out, k = found if out is None else out.unionAll(found), end
@@ -278,13 +279,14 @@ def _best(words: list[bytes], shared, backwards: bool, turned) -> pa.RecordBatch
     exact = length - half if backwards else half
     begins = np.array([w[: min(e, 16)] for w, e in zip(words, exact.tolist())], "S16")
     n_near, best = np.zeros(len(words), np.int64), [(0, b"")] * len(words)
-    for number, (first, last, lines, counts) in enumerate(shared.value):
+    name, listed = shared.value
+    for number, (first, last, lines, counts) in enumerate(listed):
         first, last = first.encode("latin-1"), last.encode("latin-1")
         cut = np.array([first[: min(e, 16)] for e in range(17)], "S16")[np.minimum(exact, 16)]
         chosen = np.flatnonzero((begins <= np.array(last[:16], "S16")) & (cut <= begins))
         if not len(chosen):
             continue
-        trie, n = _trie((shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared.value), backwards, number), lines, counts)
+        trie, n = _trie((name, number), lines, counts)
         w, v = trie.near([words[c] for c in chosen], exact[chosen])
         for a, b in zip(chosen[w].tolist(), v.tolist()):
             word = trie.words[b]
