@@ -25,7 +25,7 @@ def parts_for(df: DataFrame, part_bytes: int = 64 << 20) -> int:
     return max(least, math.ceil(known / part_bytes)) if known < 1 << 55 else least  # plans of unknown size say 2**63 or so
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``max_bytes`` in each, one row at least."""
     for batch in batches:
         start, n, size = 0, batch.num_rows, batch.column(column).nbytes
@@ -40,3 +40,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int =
             stop = max(start + 1, int(np.searchsorted(total, before + max_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on

@@ -49,7 +49,7 @@ def word_counts(documents: DataFrame, id_column: str = "doc_id", text_column: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=4 << 20):
             _count(part, slip, shortest, held)
             if len(held) > _HELD:
                 yield _counted(held)

@@ -44,7 +44,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", table_size: int = 65
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 4 << 20):
             each = pc.ascii_split_whitespace(batch.column(0).fill_null("")).flatten().value_counts()
             often = each.filter(pc.and_(pc.greater(each.field("counts"), 1), pc.less_equal(pc.utf8_length(each.field("values")), LONGEST_KEPT)))
             counts.update(dict(zip(often.field("values").to_pylist(), often.field("counts").to_pylist())))
