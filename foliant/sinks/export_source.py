@@ -50,8 +50,7 @@ class CaseExportWriter(DataSourceWriter):
         store, folder = _place(f"{self.path}/{self.hidden}")
         context = TaskContext.get()
         name, rows = f"part-{context.partitionId():05d}-{context.taskAttemptId()}.csv", 0
-        store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/{name}") as out:
+        with store.open_output_stream(f"{folder}/{name}") as out:  # not after the folder was removed
             for row in iterator:
                 out.write(_cells(row).encode("utf-8"))
                 rows += 1
@@ -86,7 +85,9 @@ class CaseExport(DataSource):
             if not overwrite:
                 raise ValueError(f"there is an export at {path} already")
             store.delete_file(f"{folder}/{LIST}")
-        return CaseExportWriter(path, schema.names, self.options.get("head", ""))
+        made = CaseExportWriter(path, schema.names, self.options.get("head", ""))
+        store.create_dir(f"{folder}/{made.hidden}", recursive=True)
+        return made
 
 
 def write_export(rows: DataFrame, path: str, head: str = "", overwrite: bool = False) -> None:
