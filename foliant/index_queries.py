@@ -168,7 +168,8 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("d"))
     left = o.select(F.col("o_orderkey").alias("id"), intervals.days(F.col("d")).alias("start"), (intervals.days(F.col("d")) + F.col("o_orderkey") % 4).alias("end"))
     right = o.select(F.col("o_orderkey").alias("other"), intervals.days(F.col("d")).alias("other_start"), (intervals.days(F.col("d")) + F.col("o_custkey") % 3 * 2).alias("other_end"))
-    return intervals.overlapping(left, right).groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("first_other"), F.max("other").alias("last_other"))
+    found = left.join(intervals.overlap_totals(left, right, "other"), ["start", "end"])
+    return found.groupBy("id").agg(F.sum("n").alias("n"), F.min("low").alias("first_other"), F.max("high").alias("last_other"))
 
 
 _TERMS = "(select reverse(w) as w from (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,7}')) as w from documents) order by md5(w), w limit 5000)"

@@ -3,6 +3,7 @@
 An interval of any length is at most two pieces per level, and a point lies in one piece of each level, so point and interval meet in
 exactly one common piece. Two intervals overlap if the later beginning lies in the other one: two such
 joins give each pair once. Nothing is compared that doesn't match, and nothing grows with the length of an interval but its logarithm.
+Numbers, least and greatest values of the overlaps come from sums per piece, without any pair.
 """
 
 from __future__ import annotations
@@ -62,3 +63,22 @@ def overlapping(left: DataFrame, right: DataFrame, start: str = "start", end: st
     late_right = stabbed(right, F.col(other_start), left, F.col(start) + 1, F.col(end), levels)
     columns = [*left.columns, *right.columns]
     return late_left.select(columns).unionAll(late_right.select(columns))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, value: str, start: str = "start", end: str = "end", other_start: str = "other_start", other_end: str = "other_end") -> DataFrame:
+    """(start, end, n, low, high): how many intervals of ``right`` each one of ``left`` overlaps, and the least and greatest ``value`` of these.
+
+    Equal intervals of ``left`` have one row, those without overlaps none. Pairs, which may be as many as the square of the rows, are
+    not made: beginnings on the right are summed by the pieces above them, intervals on the right by their own pieces, and an interval of
+    ``left`` meets a sum for each of its pieces.
+    """
+    own = left.where(F.col(start) <= F.col(end)).select(start, end).distinct()
+    totals = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    others = right.where(F.col(other_start) <= F.col(other_end)).select(other_start, other_end, F.lit(1).cast("long").alias("n"), F.col(value).alias("low"), F.col(value).alias("high"))
+    others = totals(others, other_start, other_end)
+    levels = _top((own, F.col(end)), (others, F.col(other_end)))
+    began = totals(others.withColumn("piece", F.explode(ancestors(F.col(other_start), levels))), "piece")
+    held = totals(others.withColumn("piece", F.explode(pieces(F.col(other_start) + 1, F.col(other_end), levels))), "piece")
+    met = own.withColumn("piece", F.explode(pieces(F.col(start), F.col(end), levels))).join(began, "piece")
+    met = met.unionByName(own.withColumn("piece", F.explode(ancestors(F.col(start), levels))).join(held, "piece"))
+    return totals(met, start, end)

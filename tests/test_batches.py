@@ -42,6 +42,21 @@ def test_overlaps_like_all_pairs(spark):
     assert sorted((r.p, r.r) for r in inside.collect()) == [(p, 1) for p in range(3, 9)] + [(9, 1), (9, 2)]
 
 
+def test_totals_of_overlaps_without_pairs(spark):
+    rng = random.Random(3)
+    make = lambda n: [(k, s, s + rng.choice([0, 0, 1, 4, 90]) if s is not None else 4) for k in range(n) for s in [rng.choice([None, *range(60)])]] + [(900, 7, 3), (901, None, None), (902, 0, 5000)]
+    left, right = make(150), make(400)
+    found = intervals.overlap_totals(spark.createDataFrame(left, "a long, start long, end long"), spark.createDataFrame(right, "b long, other_start long, other_end long"), "b")
+    want = {}
+    for s, e in {(s, e) for _, s, e in left if s is not None and s <= e}:
+        met = [b for b, t, f in right if t is not None and t <= f and s <= f and t <= e]
+        want |= {(s, e): (len(met), min(met), max(met))} if met else {}
+    assert {(r.start, r.end): (r.n, r.low, r.high) for r in found.collect()} == want
+    day = lambda copies: spark.range(copies).select("id", F.lit(5).alias("start"), F.lit(5).alias("end"))
+    many = intervals.overlap_totals(day(300_000), day(300_000).toDF("other", "other_start", "other_end"), "other")  # 9e10 pairs
+    assert [tuple(r) for r in many.collect()] == [(5, 5, 300_000, 0, 299_999)]
+
+
 @pytest.mark.parametrize("terms", ["a b c ab", '"" x', "xyz ÜBER abc", "q " * 40])
 def test_many_terms_like_few(spark, monkeypatch, terms):
     rng = random.Random(4)
