@@ -3,7 +3,7 @@
 ``df.write.format("case_export").option("path", ...)`` writes CSV parts of ``df`` (in the order of its partitions) into a hidden folder
 of the target. The commit writes the heading file with the byte order mark, summary and column names, then renames
 the parts, and last writes a list of them; readers go by that list. A job that fails leaves no list, and its hidden folder is
-removed.
+removed. Parts are read by the same module that writes them, a part as a stream, so that line breaks of any kind inside texts come back as they were.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StringType, StructField, StructType
 
 MARK, LIST, HEAD = "﻿", "export.json", "head.csv"
+BATCH_SIGNS = 1 << 20
 
 
 @dataclass
@@ -73,11 +76,55 @@ class CaseExportWriter(DataSourceWriter):
             store.delete_dir(folder)
 
 
+class PartFile(InputPartition):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class CaseExportReader(DataSourceReader):
+    def __init__(self, path: str, columns: list[str], parts: list[str]):
+        self.path, self.columns, self.parts = path.rstrip("/"), columns, parts
+
+    def partitions(self) -> list[PartFile]:
+        return [PartFile(p) for p in self.parts]
+
+    def _batch(self, rows: list[list[str]]) -> pa.RecordBatch:
+        cells = [pa.array([c or None for c in column], pa.string()) for column in zip(*rows)]
+        return pa.record_batch(cells, schema=pa.schema([pa.field(c, pa.string()) for c in self.columns]))
+
+    def read(self, partition: PartFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an export without parts
+            return
+        csv.field_size_limit((1 << 31) - 1)
+        store, place = _place(f"{self.path}/{partition.name}")
+        with store.open_input_stream(place) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as lines:
+            rows, signs = [], 0
+            for row in csv.reader(lines):
+                rows.append(row)
+                signs += sum(map(len, row))
+                if signs >= BATCH_SIGNS:
+                    yield self._batch(rows)
+                    rows, signs = [], 0
+            if rows:
+                yield self._batch(rows)
+
+
 class CaseExport(DataSource):
     @classmethod
     def name(cls) -> str:
         return "case_export"
 
+    def _listed(self) -> dict:
+        store, place = _place(f"{self.options['path'].rstrip('/')}/{LIST}")
+        with store.open_input_stream(place) as f:
+            return json.loads(f.read())
+
+    def schema(self) -> StructType:
+        return StructType([StructField(c, StringType()) for c in self._listed()["columns"]])
+
+    def reader(self, schema: StructType) -> CaseExportReader:
+        return CaseExportReader(self.options["path"], schema.names, self._listed()["parts"])
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         path = self.options["path"]
         store, folder = _place(path)
@@ -98,10 +145,6 @@ def write_export(rows: DataFrame, path: str, head: str = "", overwrite: bool = F
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of an export, as texts; one that never was committed isn't there."""
-    told = spark.read.text(f"{path.rstrip('/')}/{LIST}", wholetext=True).first().value
-    listed = json.loads(told)
-    schema = ", ".join(f"`{c}` string" for c in listed["columns"])
-    if not listed["parts"]:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv([f"{path.rstrip('/')}/{p}" for p in listed["parts"]])
+    """The rows of an export, as texts, empty ones as null; one that never was committed isn't there."""
+    spark.dataSource.register(CaseExport)
+    return spark.read.format("case_export").load(path)

@@ -104,3 +104,11 @@ def test_exports_appear_as_a_whole(spark, tmp_path):
     assert not os.path.exists(tmp_path / "f" / "export.json") and not [x for x in os.listdir(tmp_path / "f") if x.startswith(("part", "_parts"))]
     write_export(frame.limit(0), str(tmp_path / "g"))
     assert read_export(spark, str(tmp_path / "g")).count() == 0
+
+
+def test_line_breaks_inside_exported_texts(spark, tmp_path):
+    texts = ["a\nb", "a\rb", "a\r\nb", "\r\n", '"\n', "ends\n", "ends\r", "plain", " x ", "\ufeffy", "k" * 200_000, None, "\u2028\x00\x1a\\"]
+    for k, text in enumerate(texts):  # each of them first in a part
+        rows = [(str(i), t) for i, t in enumerate([text, *texts])]
+        write_export(spark.createDataFrame(rows, "id string, text string").coalesce(1), str(tmp_path / str(k)))
+        assert sorted((int(r.id), r.text) for r in read_export(spark, str(tmp_path / str(k))).collect()) == [(int(i), t) for i, t in rows]
