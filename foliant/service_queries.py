@@ -115,7 +115,7 @@ k as (select process_number, count(*) as c, max(document_date) as last_date from
 
 @query(_PAGE + " select process_number, cast(c as integer) as mention_count, db_id, md5(content) as digest from k join m using (process_number) where r = 1")
 def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = json_page(search.search(paragraphs(spark, sf_dir), "the", page=2, page_size=5))
+    found = json_page(search.search(paragraphs(spark, sf_dir), "the", page=2, page_size=5)).where("part = 0")  # begins with the newest mention
     part = lambda path: F.get_json_object("json", path)
     return found.select(part("$.process_number").alias("process_number"), part("$.mention_count").cast("int").alias("mention_count"), part("$.mentions[0].db_id").alias("db_id"), F.md5(part("$.mentions[0].content")).alias("digest"))
 

@@ -66,8 +66,8 @@ def write_csv_parts(found: DataFrame, path: str) -> None:
 
 
 def json_page(page) -> DataFrame:
-    """One JSON text per row of a search page: a case, or a part of one with very many mentions."""
-    return page.results.select(F.to_json(F.struct("process_number", "mention_count", "mentions")).alias("json"))
+    """One JSON text per row of a search page: a case, or a part (from 0) of one with very many mentions."""
+    return page.results.select("part", F.to_json(F.struct("process_number", "mention_count", "mentions")).alias("json"))
 
 
 def json_response(page) -> str:

@@ -46,3 +46,14 @@ def test_command_line(spark, rows, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["numbers", out], spark) == 0 and capsys.readouterr().out.split() == [N]
     assert cli.main(["stats", str(tmp_path / "c")], spark) == 0 and "s2" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["json_pages", "search_before_deadline"])
+def test_cases_of_many_mentions_have_one_row(spark, tmp_path, name):
+    from foliant.queries import queries
+
+    ids = [case + 251 * k for case in range(12) for k in range(500)]  # more mentions of a case than a row of a nested result has
+    docs = spark.createDataFrame([(i, "the text", "de", "s") for i in ids], "doc_id long, text string, lang string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries()[name](spark, str(tmp_path)).collect()
+    assert len(found) == len({r.process_number for r in found}) == (5 if name == "json_pages" else 10)
