@@ -158,7 +158,7 @@ def search_before_deadline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard by shard under a deadline that is far away."""
     p = paragraphs(spark, sf_dir)
     page = search.search(p, "the", start="2022-01-01", page_size=10, shards=corpus.manifest(p), deadline_seconds=3600)
-    return page.results.select("process_number", F.col("mention_count").cast("long").alias("mention_count"), F.array_max("mentions.document_date").alias("last_date"), F.lit(page.truncated).alias("truncated"))
+    return page.results.where("part = 0").select("process_number", F.col("mention_count").cast("long").alias("mention_count"), F.array_max("mentions.document_date").alias("last_date"), F.lit(page.truncated).alias("truncated"))
 
 
 @query(P + " select id, db_id from p where contains(n,' the ') and document_date >= date '2020-02-01'")
