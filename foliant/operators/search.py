@@ -108,7 +108,7 @@ def nested(found: DataFrame, most: int = MENTIONS_A_ROW) -> DataFrame:
     mention = F.struct("document_date", "db_id", "file_path", "content")
     parted = labelled(found).withColumn("part", F.floor((F.col("mention_index") - 1) / most).cast("int"))
     rows = parted.groupBy("process_number", "part").agg(F.first("mention_count").cast("int").alias("mention_count"), F.sort_array(F.collect_list(F.struct("mention_index", mention.alias("m")))).alias("all"))
-    last = found.groupBy(F.col("process_number").alias("_case")).agg(F.max("document_date").alias("last_date"))
+    last = parted.groupBy(F.col("process_number").alias("_case")).agg(F.max("document_date").alias("last_date"))  # of what is stored with places
     dated = rows.join(last, F.col("process_number").eqNullSafe(F.col("_case")))
     ordered = dated.orderBy(F.col("last_date").desc_nulls_last(), F.col("process_number").asc(), "part")
     return ordered.select("process_number", "mention_count", "part", F.transform("all", lambda x: x["m"]).alias("mentions"))
@@ -158,15 +158,15 @@ class SearchPage:
 def search(paragraphs: DataFrame, keywords: str | None = None, process_number: str | None = None, start: str | None = None, end: str | None = None, exclusion: str | None = None, page: int = 1, page_size: int | None = PAGE_SIZE, shards: DataFrame | None = None, deadline_seconds: float | None = None, on_error: str = "raise", index: IndexSearch | None = None) -> SearchPage:
     """Search, exclude, order and page.
 
-    Keys are paged before contents are fetched. With a deadline, shards are searched as jobs of their own, and those that
+    Keys are paged before contents are fetched, and a page's mentions are fetched once. With a deadline, shards are searched as jobs of their own, and those that
     don't end in time are left out and the page marked as truncated.
     """
     conditions = dict(keywords=keywords, process_number=process_number, start=start, end=end, shards=shards, on_error=on_error, index=index)
-    found = matches(paragraphs, **conditions)
-    truncated = False
+    found, held, seen, truncated = matches(paragraphs, **conditions), paragraphs, None, False
     if deadline_seconds is not None:
         seen, done, truncated = _shards_in_time(paragraphs, conditions, exclusion, deadline_seconds)
-        found = met(matches(paragraphs.where(one_of("db_id", done)), **conditions), seen)
+        held = paragraphs.where(one_of("db_id", done))
+        found = met(matches(held, **conditions), seen)
         per_case = seen.groupBy("process_number").agg(F.count("*").alias("mention_count"), F.max("document_date").alias("last_date"), F.bool_or("bad").alias("bad"))
         keys = per_case.where("not bad").drop("bad")
     else:
@@ -179,8 +179,9 @@ def search(paragraphs: DataFrame, keywords: str | None = None, process_number: s
         total = keys.count()
     finally:
         keys.unpersist()
-    results = nested(mentions_of(found, paragraphs.sparkSession.createDataFrame(chosen, keys.schema)).drop("last_date"))
-    return SearchPage(results, total, page, page_size, truncated)
+    own = held.where(F.col("process_number").isin([r.process_number for r in chosen if r.process_number is not None]))  # before any text is looked at
+    own = matches(own, **conditions) if seen is None else met(matches(own, **conditions), seen)
+    return SearchPage(nested(stored(own, "page")), total, page, page_size, truncated)
 
 
 def _shards_in_time(paragraphs: DataFrame, conditions: dict, exclusion: str | None, seconds: float) -> tuple[DataFrame, list[str | None], bool]:

@@ -17,8 +17,9 @@ from ..schema import EXPORT_COLUMNS
 
 def export_rows(found: DataFrame) -> DataFrame:
     """One row per mention in export order: cases by recency, mentions newest first."""
-    last = found.groupBy(F.col("process_number").alias("_case")).agg(F.max("document_date").alias("last_date"))
-    rows = labelled(found).join(last, F.col("process_number").eqNullSafe(F.col("_case"))).orderBy(F.col("last_date").desc_nulls_last(), "process_number", "mention_index")
+    placed = labelled(found)
+    last = placed.groupBy(F.col("process_number").alias("_case")).agg(F.max("document_date").alias("last_date"))  # of what is stored with places
+    rows = placed.join(last, F.col("process_number").eqNullSafe(F.col("_case"))).orderBy(F.col("last_date").desc_nulls_last(), "process_number", "mention_index")
     values = ("process_number", "mention_label", "document_date", "db_id", "file_path", "content")
     return rows.select(*[F.col(v).alias(c) for v, c in zip(values, EXPORT_COLUMNS)])
 
