@@ -142,3 +142,18 @@ def test_extractor_errors_are_kept(spark, tmp_path):
         raise ValueError("no text layer")
 
     assert [(r.text, r.error) for r in binary_files(spark, str(tmp_path), read).collect()] == [("", "ValueError: no text layer")]
+
+
+def test_python_workers_get_texts_by_bytes(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rows = F.pandas_udf(lambda texts: pd.Series([len(texts)] * len(texts)), "long")
+    text = F.repeat(F.lit("x"), F.lit(1 << 20))
+    found = spark.range(40, numPartitions=1).select(F.length(decompress_content(compress_content(text))).alias("n"), rows(text).alias("rows"))
+    assert {(r.n, r.rows <= 5) for r in found.collect()} == {(1 << 20, True)}
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    decompress_content(compress_content(text))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("1m", "1048576b")  # less is kept
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
