@@ -41,3 +41,25 @@ def token_places(texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.ListArray]:
     lists = pa.ListArray.from_arrays(pa.array([*first, len(key)], pa.int32()), pa.array(place[at], pa.int32()))
     row, code = np.divmod(key[first], max(1, len(each.dictionary)))
     return row, each.dictionary.take(pa.array(code)), lists
+
+
+def joined(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices put together until ``column`` holds about ``max_bytes``."""
+    held, size = [], 0
+    for part in slices(batches, column, max_bytes):
+        held.append(part)
+        size += int(pc.sum(pc.binary_length(part.column(column))).as_py() or 0)
+        if size >= max_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def by_token(tokens: pa.Array, ids: pa.Array) -> np.ndarray:
+    """The order of postings by token (as bytes) and id, nulls first; distinct tokens are sorted, and postings by their ranks."""
+    coded = tokens.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    return np.lexsort((ids.fill_null(0).to_numpy(), known, rank[coded.indices.to_numpy()]))

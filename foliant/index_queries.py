@@ -11,7 +11,7 @@ from .operators.maintain import document_frequency
 from .operators.pages import PageIndex, newest_cases, page_after
 from .operators.segments import SegmentedIndex
 from .operators.substrings import with_number, without_excluded, write_grams
-from .queries import P, paragraphs, query, side_tables, stored_corpus, table
+from .queries import P, dictionary, paragraphs, query, side_tables, stored_corpus, stored_paragraphs, table
 from .schema import PARAGRAPHS
 from .sinks.export import export_rows
 from .sinks.export_source import read_export, write_export
@@ -22,7 +22,7 @@ from .streaming.ingest import ingest_files, ingested
 def _searched(keywords: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p, index = stored_corpus(spark, sf_dir)
-        return IndexSearch(index, side_tables(spark, sf_dir)[0]).matches(p.select("id", "db_id", "process_number", "document_date"), keywords)
+        return IndexSearch(index, dictionary(spark, sf_dir)).matches(p.select("id", "db_id", "process_number", "document_date"), keywords)
 
     return run
 
@@ -67,7 +67,7 @@ select process_number, mention_count, last_date, (select count(*) from (select p
 def index_full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole search request with the index: keywords, dates, exclusion and a page."""
     p, index = stored_corpus(spark, sf_dir)
-    page = search.search(p, '"of the"', start="2020-01-01", exclusion="worthless", page_size=25, shards=corpus.manifest(p), index=IndexSearch(index, side_tables(spark, sf_dir)[0]))
+    page = search.search(p, '"of the"', start="2020-01-01", exclusion="worthless", page_size=25, shards=corpus.manifest(p), index=IndexSearch(index, dictionary(spark, sf_dir)))
     cases = page.results.where("part = 0")
     return cases.select("process_number", F.col("mention_count").cast("long").alias("mention_count"), F.array_max("mentions.document_date").alias("last_date"), F.lit(page.total_processes).cast("long").alias("total"))
 
@@ -95,7 +95,7 @@ def segmented_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(P + " select id, process_number from p where process_number ilike '%0_7-__.2%.8.26.00%'")
 def substring_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case numbers by a pattern: trigrams choose among distinct numbers, and the pattern is tested on what they choose."""
-    p, _ = stored_corpus(spark, sf_dir)
+    p = stored_paragraphs(spark, sf_dir)
     path = scratch(spark, "number-grams")
     write_grams(p, "process_number", path)
     return with_number(p.select("id", "process_number"), spark.read.parquet(path), "0_7-__.2%.8.26.00")
@@ -117,7 +117,7 @@ k as (select process_number, count(*) as mention_count, max(document_date) as la
 @query(P + _NEWEST + " select process_number, mention_count, last_date from k order by last_date desc, process_number limit 20")
 def newest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page from the newest shards alone, as far as that goes."""
-    p, _ = stored_corpus(spark, sf_dir)
+    p = stored_paragraphs(spark, sf_dir)
     return newest_cases(p, corpus.manifest(p), 20, "the", exclusion="worthless stupid").cases
 
 
@@ -208,7 +208,7 @@ def ingest_stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(P + " select db_id, count(*) as n, count(distinct id) as ids, min(id) as low, max(id) as high, count(distinct md5(content)) as digests from (select row_number() over (partition by db_id order by id) - 1 as id, db_id, content from (select *, row_number() over (partition by db_id, md5(content) order by id) as r from p) where r = 1) group by 1")
 def optimized_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A written corpus deduplicated, renumbered and written again, and read back."""
-    p, _ = stored_corpus(spark, sf_dir)
+    p = stored_paragraphs(spark, sf_dir)
     source, target = scratch(spark, "before"), scratch(spark, "after")
     corpus.write(p.drop("content_norm"), source, "overwrite")
     maintain.optimize(spark, source, target)

@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrow import slices, token_places
+from ..functions.arrow import by_token, joined, token_places
 from ..functions.blobs import readable_content
 from ..functions.text import normalized
 from ..plans.keywords import compile_filter, parse, required_terms, sanitize
+from ..storage import small_batches
 from .corpus import write
 from .ordered import places
 
 POSTINGS = "db_id string, token string, id long, positions array<int>"
+POSTINGS_A_BATCH = 50_000
 
 
 def split_by_ranges(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -54,26 +56,33 @@ def decodable(paragraphs: DataFrame) -> DataFrame:
 
 
 def postings(paragraphs: DataFrame) -> DataFrame:
-    """(db_id, token, id, positions): every token of every row, with all places where it stands."""
+    """(db_id, token, id, positions): every token of every row, with all places where it stands; in runs that are sorted by token and id.
+
+    A run holds the tokens of about 8 MB of text, and a task makes as many as it has texts for, so neither its memory nor its Python
+    worker's grows with the rows that it reads.
+    """
+    small_batches(paragraphs.sparkSession)
     norm = F.col("content_norm") if "content_norm" in paragraphs.columns else normalized(F.col("content"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in joined(batches):
             row, token, positions = token_places(part.column(1))
-            row = pa.array(row)
-            yield pa.record_batch([part.column(0).take(row), token, part.column(2).take(row), positions], names=["db_id", "token", "id", "positions"])
+            order = by_token(token, part.column(2).take(pa.array(row)))
+            for k in range(0, len(order), POSTINGS_A_BATCH):
+                own = pa.array(order[k : k + POSTINGS_A_BATCH])
+                rows = pa.array(row).take(own)
+                yield pa.record_batch([part.column(0).take(rows), token.take(own), part.column(2).take(rows), positions.take(own)], names=["db_id", "token", "id", "positions"])
 
     return paragraphs.select("db_id", norm.alias("text"), F.col("id").cast("long")).mapInArrow(places, POSTINGS)
 
 
 def write_postings(paragraphs: DataFrame, path: str) -> None:
-    """The inverted index in runs: each task sorts the postings of its own rows by token, and nothing is shuffled.
+    """The inverted index in runs sorted by token, as ``postings`` makes them; nothing is shuffled or sorted besides.
 
     A search reads of each run the pages whose first and last token fit, so small row groups and sorted tokens are what counts. A stored
     corpus is read by shards, so the runs' statistics tell shards apart, too.
     """
-    runs = postings(paragraphs).sortWithinPartitions("token", "id")
-    runs.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    postings(paragraphs).write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def document_frequency(index: DataFrame) -> DataFrame:

@@ -59,12 +59,12 @@ class SegmentedIndex:
         out.close()
 
     def _write(self, rows: DataFrame, merged: bool = False) -> str:
-        """A segment's folder. A batch's postings are runs that each task sorts by token; merged ones are sorted as a whole."""
+        """A segment's folder. A batch's postings come in sorted runs; merged ones are sorted as a whole."""
         name = f"segment-{uuid.uuid4().hex}"
         order = ("token", "id")
         dealt = rows.select("db_id", "token", "id", "positions")
-        dealt = dealt.repartitionByRange(*order) if merged else dealt
-        dealt.sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/{name}")
+        dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order) if merged else dealt
+        dealt.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(f"{self.path}/{name}")
         return name
 
     def apply(self, added: DataFrame | None = None, removed: DataFrame | None = None, batch: str | None = None) -> bool:

@@ -46,27 +46,43 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("db_id", fn.shard_of(F.col("document_date"))).withColumn("file_path", F.concat(F.date_format("document_date", "yyyyMMdd"), F.lit("_"), F.col("source"), F.lit(".pdf")))
 
 
-def stored_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The paragraphs as a written corpus and its index of postings; written anew when the documents' files change."""
+def stored_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs as a written corpus; written anew when the documents' files change."""
     key = (spark.sparkContext.applicationId, state_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet"))
     if key not in _STORED:
         path = scratch(spark, "corpus")
         corpus.write(paragraphs(spark, sf_dir).select(*PARAGRAPHS.names), f"{path}/paragraphs")
-        maintain.write_postings(corpus.load(spark, f"{path}/paragraphs"), f"{path}/postings")
         _STORED[key] = path
-    return corpus.load(spark, f"{_STORED[key]}/paragraphs"), spark.read.parquet(f"{_STORED[key]}/postings")
+    return corpus.load(spark, f"{_STORED[key]}/paragraphs")
 
 
-def side_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The stored index's dictionary, and the trigrams of its tokens; written beside it when first asked for."""
-    _, index = stored_corpus(spark, sf_dir)
+def stored_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The written corpus and its index of postings."""
+    p = stored_paragraphs(spark, sf_dir)
+    return p, _side(spark, sf_dir, "postings", lambda _, out: maintain.write_postings(p, out))
+
+
+def _side(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str, str], None]) -> DataFrame:
+    """A table beside the stored corpus, written when first asked for."""
+    stored_paragraphs(spark, sf_dir)
     key = (spark.sparkContext.applicationId, state_of(spark, f"{sf_dir.rstrip('/')}/documents.parquet"))
     path = _STORED[key]
-    if (key, "side") not in _STORED:
-        write_dictionary(index, f"{path}/dictionary")
-        write_grams(spark.read.parquet(f"{path}/dictionary"), "token", f"{path}/grams")
-        _STORED[key, "side"] = path
-    return spark.read.parquet(f"{path}/dictionary"), spark.read.parquet(f"{path}/grams")
+    if (key, name) not in _STORED:
+        write(path, f"{path}/{name}")
+        _STORED[key, name] = path
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index's dictionary."""
+    _, index = stored_corpus(spark, sf_dir)
+    return _side(spark, sf_dir, "dictionary", lambda _, out: write_dictionary(index, out))
+
+
+def side_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stored index's dictionary, and the trigrams of its tokens."""
+    tokens = dictionary(spark, sf_dir)
+    return tokens, _side(spark, sf_dir, "grams", lambda _, out: write_grams(tokens, "token", out))
 
 
 def query(sql: str) -> Callable:

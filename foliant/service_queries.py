@@ -18,7 +18,7 @@ from .api import Service
 from .functions import text as fn
 from .functions.blobs import compress_content, decompress_content
 from .operators import calendar, corpus, extract, ingest, jobs, maintain, search
-from .queries import _GAZETTE, P, paragraphs, query, stored_corpus, table
+from .queries import _GAZETTE, P, paragraphs, query, stored_paragraphs, table
 from .schema import CASE_RECORDS
 from .sinks.export import json_page, preamble
 from .sources.casefile import csv_case_numbers, listed_numbers
@@ -169,7 +169,7 @@ def search_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(P + " select id, db_id, document_date from p where contains(n,' the ') and not contains(n,' scum ') and document_date between date '2020-02-01' and date '2021-06-30'")
 def search_written_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search over a stored corpus: dates choose partitions, normalized text is read and not made."""
-    p, _ = stored_corpus(spark, sf_dir)
+    p = stored_paragraphs(spark, sf_dir)
     return search.matches(p, "the NOT scum", start="2020-02-01", end="2021-06-30", shards=corpus.manifest(p)).select("id", "db_id", "document_date")
 
 

@@ -209,3 +209,19 @@ def test_some_shards_are_late(spark, rows):
     there = search.cases(search.matches(rows.where("db_id != 's2021' or db_id is null"), "sud"))
     assert page.truncated and 0 < page.total_processes <= there.count() and time.monotonic() - began < 100
     assert "s2021" not in {m.db_id for r in page.results.collect() for m in r.mentions}
+
+
+def test_postings_come_in_sorted_runs_of_bounded_size(spark):
+    import pyarrow as pa
+
+    from foliant.functions.arrow import joined
+
+    texts = [None, "", *(" b é a ä zz " * (k % 7) for k in range(400))]
+    batches = pa.record_batch({"s": ["x"] * len(texts), "text": pa.array(texts, pa.string())}).slice
+    runs = list(joined((batches(k, 50) for k in range(0, len(texts), 50)), 1, 1000))
+    assert [t for r in runs for t in r.column(1).to_pylist()] == texts and max(sum(len(t or "") for t in r.column(1).to_pylist()) for r in runs) < 3000
+    rows = spark.createDataFrame([("s", 500 - k, t or "") for k, t in enumerate(texts)], "db_id string, id long, content string").coalesce(1)
+    index = maintain.postings(rows)
+    found = [(r.token.encode(), r.id) for r in index.collect()]
+    assert found == sorted(found) and len(found) == len(set(found)) == 4 * sum(k % 7 > 0 for k in range(400))
+    assert "Sort" not in index._jdf.queryExecution().executedPlan().toString()
