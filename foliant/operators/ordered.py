@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import small, stored
 
 #: Bytes of a range of rows; a range is sorted by one task.
 RANGE_BYTES = 32 << 20
+#: Bytes of a group's key and numbers, as a broadcast holds them.
+GROUP_BYTES = 128
 
 
 def ranges_for(df: DataFrame) -> int:
@@ -41,5 +43,5 @@ def places(rows: DataFrame, group: list[str], order: list[Column], name: str = "
     everywhere = ordinals(rows, [*(F.col(c).asc_nulls_first() for c in group), *order], "_ordinal", ranges)
     first = everywhere.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.min("_ordinal").alias("_first"), F.count("*").alias(f"{name}_of"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
-    joined = everywhere.join(first, same)
+    joined = everywhere.join(small(first, GROUP_BYTES), same)  # few groups: whole rows aren't dealt by group, all of one to a task
     return joined.withColumn(name, F.col("_ordinal") - F.col("_first")).select(*rows.columns, name, f"{name}_of")

@@ -225,3 +225,17 @@ def test_postings_come_in_sorted_runs_of_bounded_size(spark):
     found = [(r.token.encode(), r.id) for r in index.collect()]
     assert found == sorted(found) and len(found) == len(set(found)) == 4 * sum(k % 7 > 0 for k in range(400))
     assert "Sort" not in index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_in_few_groups_deal_no_rows_by_group(spark):
+    from foliant.operators.ordered import places
+
+    rows = spark.range(1000).selectExpr("id", "cast(id % 2 as string) as g", "repeat('x', 100) as content")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = places(rows, ["g"], [F.col("id").asc()])
+        assert "SortMergeJoin" not in placed._jdf.queryExecution().executedPlan().toString()
+        assert {(r.id, r.place, r.place_of) for r in placed.collect()} == {(k, k // 2, 500) for k in range(1000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
