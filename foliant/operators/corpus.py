@@ -14,16 +14,16 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write(paragraphs: DataFrame, path: str, mode: str = "append") -> None:
+def write(paragraphs: DataFrame, path: str, mode: str = "append", shards: bool = True) -> None:
     """Store paragraphs by shard, sorted for date and number statistics, with normalized text beside the content.
 
     Rows are dealt by shard and date ranges, so a shard with most rows is written by many tasks. Texts are normalized after
-    that, so they are normalized once and don't go through the shuffle.
+    that, so they are normalized once and don't go through the shuffle. Without ``shards``, the rows are one shard's, and ``path`` is its folder.
     """
-    order = ("db_id", "document_date", "process_number")
+    order = ("db_id", "document_date", "process_number") if shards else ("document_date", "process_number")
     out = paragraphs.repartitionByRange(*order).sortWithinPartitions(*order)
     out = out if "content_norm" in out.columns else out.withColumn("content_norm", normalized(F.col("content")))
-    out.write.mode(mode).partitionBy("db_id").option("compression", "zstd").option("parquet.bloom.filter.enabled#process_number", "true").parquet(path)
+    out.write.mode(mode).partitionBy(*order[:1] if shards else ()).option("compression", "zstd").option("parquet.bloom.filter.enabled#process_number", "true").parquet(path)
 
 
 def manifest(paragraphs: DataFrame) -> DataFrame:

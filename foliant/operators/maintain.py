@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -139,19 +140,25 @@ def shard_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(unquote(x.getPath().getName().removeprefix("db_id=")) for x in found if x.getPath().getName().startswith("db_id="))
 
 
-def optimize_shards(spark: SparkSession, source: str, target: str) -> list[dict]:
-    """``optimize`` for each shard of a corpus by itself, into ``target/db_id=...``; a shard that fails is reported and left out."""
-    out = []
-    for name in shard_names(spark, source):
+def optimize_shards(spark: SparkSession, source: str, target: str, at_once: int = 4) -> list[dict]:
+    """``optimize`` for each shard of a corpus by itself, into ``target/db_id=...``; a shard that fails is reported and left out.
+
+    ``at_once`` shards are worked on side by side, so that one's last tasks don't keep the others waiting.
+    """
+
+    def one(name: str) -> dict:
+        path = f"{target}/db_id={name}"
         try:
             own = spark.read.parquet(f"{source}/db_id={name}").withColumn("db_id", F.lit(name))
             kept = renumbered(keep_first(own.drop("content_norm")))
-            write(kept.drop("db_id").withColumn("db_id", F.lit(name)), target, "append")
-            done = spark.read.parquet(f"{target}/db_id={name}").withColumn("db_id", F.lit(name))
-            out.append(rewrite_summary(own, done).first().asDict() | {"error": None})
+            write(kept.drop("db_id"), path, "append", shards=False)
+            done = spark.read.parquet(path).withColumn("db_id", F.lit(name))
+            return rewrite_summary(own, done).first().asDict() | {"error": None}
         except Exception as e:
-            out.append({"db_id": name, "error": str(e)[:500]})
-    return out
+            return {"db_id": name, "error": str(e)[:500]}
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(one, shard_names(spark, source)))
 
 
 def optimize(spark: SparkSession, source: str, target: str) -> dict[str, float]:
