@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrow import by_token, joined, token_places
+from ..functions.arrow import by_token, posting_runs
 from ..functions.blobs import readable_content
 from ..functions.text import normalized
 from ..plans.keywords import compile_filter, parse, required_terms, sanitize
@@ -66,13 +66,13 @@ def postings(paragraphs: DataFrame) -> DataFrame:
     norm = F.col("content_norm") if "content_norm" in paragraphs.columns else normalized(F.col("content"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in joined(batches):
-            row, token, positions = token_places(part.column(1))
-            order = by_token(token, part.column(2).take(pa.array(row)))
+        for keys, row, token, positions in posting_runs(batches):
+            order = by_token(token, row, keys.column(1))
             for k in range(0, len(order), POSTINGS_A_BATCH):
                 own = pa.array(order[k : k + POSTINGS_A_BATCH])
-                rows = pa.array(row).take(own)
-                yield pa.record_batch([part.column(0).take(rows), token.take(own), part.column(2).take(rows), positions.take(own)], names=["db_id", "token", "id", "positions"])
+                rows = pa.array(row[order[k : k + POSTINGS_A_BATCH]])
+                yield pa.record_batch([keys.column(0).take(rows), token.take(own).cast("string"), keys.column(1).take(rows), positions.take(own)], names=["db_id", "token", "id", "positions"])
+            del keys, row, token, positions, order  # before the next run is gathered
 
     return paragraphs.select("db_id", norm.alias("text"), F.col("id").cast("long")).mapInArrow(places, POSTINGS)
 

@@ -227,6 +227,57 @@ def test_postings_come_in_sorted_runs_of_bounded_size(spark):
     assert "Sort" not in index._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_of_many_texts_take_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(5000)]
+    texts = pa.array([" " + " ".join(rng.choices(words, k=2000)) + " " for _ in range(200)])
+    batch = pa.record_batch([pa.array(["s"] * 200), texts, pa.array(range(200), pa.int64())], names=["db_id", "text", "id"])
+    made = []
+    frame = spark.createDataFrame([], SCHEMA)
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: made.append(f))
+    maintain.postings(frame)
+    usual, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in made[0](batch for _ in range(8)))
+        peak = (tracemalloc.get_traced_memory()[1] + pool.max_memory()) / 2**20
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    assert n == 8 * sum(len(set(t.split())) for t in texts.to_pylist()) and texts.nbytes > 2 << 20
+    assert peak < 90, peak
+
+
+def test_runs_are_the_same_whatever_the_slices():
+    import pyarrow as pa
+
+    from foliant.functions.arrow import by_token, posting_runs
+
+    rng = random.Random(5)
+    texts = [None, "", " ", *(" " + " ".join(rng.choices(["b", "\u00e9", "a", "zz", "\U0001f600", "\uffff"], k=rng.randrange(40))) + " " for _ in range(500))]
+    ids = [None if k % 50 == 0 else rng.randrange(-100, 100) for k in range(len(texts))]
+    batch = pa.record_batch([pa.array([None if k % 7 == 0 else f"s{k % 3}" for k in range(len(texts))]), pa.array(texts, pa.string()), pa.array(ids, pa.int64())], names=["db_id", "text", "id"])
+    want = []
+    for k, t in enumerate(texts):
+        at = collections.defaultdict(list)
+        for place, token in enumerate((t or "").split()):
+            at[token].append(place)
+        want += [(batch.column(0)[k].as_py(), token, ids[k], places) for token, places in at.items()]
+    want.sort(key=lambda x: (x[1].encode(), x[2] is not None, x[2] or 0))
+    for slice_bytes in (1, 700, 1 << 20):
+        [(keys, row, token, places)] = posting_runs((batch.slice(k, 60) for k in range(0, len(texts), 60)), 1 << 30, slice_bytes)
+        order = by_token(token, row, keys.column(1))
+        assert [(keys.column(0)[row[k]].as_py(), token[k].as_py(), keys.column(1)[row[k]].as_py(), places[k].as_py()) for k in order] == want
+    empty = pa.record_batch([pa.array(["s"] * 1000), pa.nulls(1000, pa.string()), pa.array(range(1000), pa.int64())], names=["db_id", "text", "id"])
+    assert [run[0].num_rows for run in posting_runs((empty for _ in range(6)), 30_000, 1000)] == [2000] * 3
+    assert list(posting_runs(iter([]))) == []
+
+
 def test_places_in_few_groups_deal_no_rows_by_group(spark):
     from foliant.operators.ordered import places
 
